@@ -37,10 +37,15 @@ def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, per_slot: int = 2, *keys: str) -> DataFrame:
-    """Give a scan that has fewer partitions than the cluster has cores enough of them for a costly Python
-    stage. A scan that is already wide (any large table) is left as it is, without a shuffle."""
+def spread(df: DataFrame, *keys: str, per_slot: int = 2) -> DataFrame:
+    """Give a costly Python stage at least as many partitions as the cluster has cores.
+
+    Without keys ``df`` must be a plain scan: one that has fewer partitions than needed (a small table) is
+    redistributed, a wide one is left as it is, without a shuffle. With keys, rows are hash-partitioned by them into a
+    fixed number of partitions, which a following aggregation or distinct over them reuses.
+    """
     wanted = slots(df.sparkSession) * per_slot
-    if not keys and df.rdd.getNumPartitions() >= wanted // 2:
-        return df
-    return df.repartition(wanted, *keys)
+    if keys:
+        wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(max(wanted, wide), *keys)
+    return df if df.rdd.getNumPartitions() >= wanted // 2 else df.repartition(wanted)
