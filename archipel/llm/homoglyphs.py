@@ -258,7 +258,7 @@ def alike_pairs(df: DataFrame, key: str = "doc_id", column: str = "text") -> Dat
     """
     k, t = F.col(key), F.col("__form")
     forms = canonical(spread(df.select(key, column).where(k.isNotNull() & F.col(column).isNotNull())), column, "__form")
-    rows = forms.select(k.alias("k"), F.xxhash64(t, F.length(t)).alias("h1"), F.crc32(t).alias("h2"), F.xxhash64(F.col(column)).alias("raw")).distinct()
+    rows = checkpoint(forms.select(k.alias("k"), F.xxhash64(t, F.length(t)).alias("h1"), F.crc32(t).alias("h2"), F.xxhash64(F.col(column)).alias("raw")).distinct())
     texts = rows.groupBy("h1", "h2", "raw").agg(F.min("k").alias("rep"))  # one row per different text
     varied = texts.groupBy("h1", "h2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("h1", "h2")
     texts = checkpoint(texts.join(varied, ["h1", "h2"], "left_semi"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipel.llm import homoglyphs, neighbours, splitting
+from archipel.llm import consensus, homoglyphs, mixing, neighbours, packing, splitting
 from archipel.session import table
 
 
@@ -18,6 +18,23 @@ def archive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.unionByName(chunks)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, _ = consensus.consensus(table(spark, sf_dir, "dense_judgments"))
+    return items.where("n_judges >= 3").select("query_id", "chunk_id", "relevance_score")
+
+
+def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.consensus(table(spark, sf_dir, "dense_judgments"))[0]
+
+
+def p2_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.judge_report(table(spark, sf_dir, "dense_judgments"))
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.alpha(table(spark, sf_dir, "dense_judgments"))
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(archive_items(spark, sf_dir), ["item_type", "item_id"])
 
@@ -30,6 +47,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.nearest(table(spark, sf_dir, "embedded_text")))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "token_budgets"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fills(p8_packed(spark, sf_dir))
+
+
+def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return homoglyphs.alike_pairs(table(spark, sf_dir, "documents"))
 
@@ -39,7 +72,7 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p6_pieces, p6_found, p7_found, p10_found, p10_canonical)
+    own = (p2_found, p2_consensus, p2_judges, p2_agreement, p6_pieces, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_canonical)
     return {f.__name__: f for f in own}
 
 

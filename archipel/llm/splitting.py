@@ -91,7 +91,7 @@ def split_items(df: DataFrame, keys: list[str], text: str = "raw_text", limit: i
     """
     if limit < 1 or not 0 <= overlap < limit:
         raise ValueError("limit must be positive and the overlap smaller than it")
-    rows = df.select(*keys, F.col(text).alias("__text")).where(F.col("__text").isNotNull()).distinct()
+    rows = spread(df.select(*keys, F.col(text).alias("__text")).where(F.col("__text").isNotNull()), *keys).distinct()
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", chunk_index int, start_word int, end_word int, start_char int, end_char int, n_words int, overlap_words int, hard_cut boolean, piece_text string"
 
@@ -110,7 +110,7 @@ def split_items(df: DataFrame, keys: list[str], text: str = "raw_text", limit: i
             out["piece_text"] = [texts[i][a:b] for i, a, b in zip(pieces["i"], pieces["start_char"], pieces["end_char"])]
             yield out
 
-    return spread(rows).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
 
 
 def oversized(pieces: DataFrame, keys: list[str]) -> DataFrame:
