@@ -184,8 +184,8 @@ def alpha(judgments: DataFrame) -> DataFrame:
     w = Window.partitionBy("query_id", "chunk_id")
     cells = per_item.withColumn("m", F.sum("n").over(w)).where("m > 1")
     by_item = cells.groupBy("query_id", "chunk_id").agg(F.first("m").alias("m"), F.sum(F.col("n") * (F.col("m") - F.col("n"))).alias("off"))
-    observed = by_item.agg(F.count("*").alias("items"), F.sum("m").alias("pairable_votes"), F.sum(F.col("off") / (F.col("m") - 1)).alias("d"))
-    totals = cells.groupBy("label").agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("sq"), F.sum("t").alias("total"))
+    observed = by_item.agg(F.count("*").alias("items"), F.sum("m").alias("pairable_votes"), F.sum(F.col("off") / (F.col("m") - 1)).alias("d")).withColumn("one", F.lit(1))
+    totals = cells.groupBy("label").agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("sq"), F.sum("t").alias("total")).withColumn("one", F.lit(1))
     do, de = F.col("d") / F.col("pairable_votes"), (F.col("total") * F.col("total") - F.col("sq")) / (F.col("total") * (F.col("total") - 1))
-    both = observed.join(F.broadcast(totals))  # one row each
+    both = observed.join(totals, "one")  # one row each
     return both.select("items", "pairable_votes", F.round(do, 6).alias("observed"), F.round(de, 6).alias("expected"), F.round(1 - F.try_divide(do, de), 6).alias("alpha"))

@@ -178,6 +178,6 @@ def shares(drawn: DataFrame, quotas: pd.DataFrame) -> DataFrame:
     cols = ["source", "target_share", "max_repeats", "available", "quota"]
     rows = [(r.source, float(r.target_share), int(r.max_repeats), int(r.available), int(r.quota)) for r in quotas[cols].itertuples()]
     plan_ = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, available_tokens bigint, quota_tokens bigint")
-    total = got.agg(F.sum("drawn_tokens").alias("total"))
-    out = plan_.join(got, "source", "left").join(F.broadcast(total))  # one row
+    everything = Window.partitionBy(F.lit(0))  # one row per target source
+    out = plan_.join(got, "source", "left").withColumn("total", F.sum("drawn_tokens").over(everything))
     return out.select(*plan_.columns, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("drawn_tokens", "uses", "records", "most_uses")), F.round(F.coalesce(F.col("drawn_tokens"), F.lit(0)) / F.col("total"), 6).alias("actual_share"))

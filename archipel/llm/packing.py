@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from archipel.llm.tokens import VOCABULARY, token_count
 from archipel.session import checkpoint, slots, spread
 
-SHARD_ITEMS, ISLANDS, POPULATION, EPOCHS, OFFSPRING, GOOD_FILL, SEED = 2048, 2, 4, 2, 24, 0.98, 5
+SHARD_ITEMS, ISLANDS, POPULATION, EPOCHS, OFFSPRING, GOOD_FILL, MAX_KINDS, SEED = 2048, 2, 4, 2, 24, 0.98, 1000, 5
 
 
 def best_fit(order: np.ndarray, sizes: list[int], capacity: int, bins: list[list[int]], room: list[int]) -> None:
@@ -147,9 +147,12 @@ def pieces(documents: DataFrame, budgets: DataFrame, vocabulary: str) -> DataFra
     """(container, capacity, doc_id, part, start_token, n_tokens): texts over the capacity in parts, others whole."""
     rows = spread(documents.select("doc_id", "text")).where("doc_id is not null").select("doc_id", token_count("text", vocabulary).alias("n"))
     sizes = checkpoint(rows.groupBy("doc_id").agg(F.max("n").cast("int").alias("n")))
-    kinds = budgets.where("container is not null and capacity_tokens > 0").groupBy("container").agg(F.min("capacity_tokens").alias("capacity")).limit(1000)
+    kinds = budgets.where("container is not null and capacity_tokens > 0").groupBy("container").agg(F.min("capacity_tokens").alias("capacity")).orderBy("container").limit(MAX_KINDS + 1).collect()
+    if len(kinds) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of container")
+    listed = F.array(*[F.struct(F.lit(k["container"]).alias("container"), F.lit(int(k["capacity"])).alias("capacity")) for k in kinds]).cast("array<struct<container:string,capacity:int>>")
     cut = F.greatest(F.ceil(F.col("n") / F.col("capacity")), F.lit(1)).cast("int")
-    every = sizes.join(F.broadcast(kinds)).withColumn("part", F.explode(F.sequence(F.lit(0), cut - 1)))  # each text once per container kind
+    every = sizes.select("*", F.inline(listed)).withColumn("part", F.explode(F.sequence(F.lit(0), cut - 1)))  # each text once per container kind
     start = F.col("part") * F.col("capacity")
     return every.select("container", "capacity", "doc_id", "part", start.alias("start_token"), F.least(F.col("n") - start, F.col("capacity")).alias("n_tokens"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipel.llm import consensus, homoglyphs, mixing, neighbours, packing, splitting
+from archipel.llm import consensus, homoglyphs, mixing, neighbours, packing, responses, splitting
 from archipel.session import table
 
 
@@ -18,6 +18,14 @@ def archive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.unionByName(chunks)
 
 
+def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responses.defects(table(spark, sf_dir, "dense_judgments"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_defects(spark, sf_dir).select("record_id", "defect_type")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, _ = consensus.consensus(table(spark, sf_dir, "dense_judgments"))
     return items.where("n_judges >= 3").select("query_id", "chunk_id", "relevance_score")
@@ -72,7 +80,7 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p2_found, p2_consensus, p2_judges, p2_agreement, p6_pieces, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_canonical)
+    own = (p1_found, p1_defects, p2_found, p2_consensus, p2_judges, p2_agreement, p6_pieces, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_canonical)
     return {f.__name__: f for f in own}
 
 
