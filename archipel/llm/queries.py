@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipel.llm import consensus, homoglyphs, mixing, neighbours, packing, responses, scans, splitting
+from archipel.llm import consensus, homoglyphs, mixing, names, neighbours, packing, responses, scans, splitting
 from archipel.session import table
 
 
@@ -51,6 +51,10 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.worked(table(spark, sf_dir, "archive_chunks")).select("chunk_id", "clean_text", F.size("noise").alias("n_noise"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.links(table(spark, sf_dir, "nil_mentions"), table(spark, sf_dir, "local_entities")).select("mention_id", "entity_id")
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(archive_items(spark, sf_dir), ["item_type", "item_id"])
 
@@ -88,7 +92,7 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_defects, p2_found, p2_consensus, p2_judges, p2_agreement, p4_found, p4_repaired, p6_pieces, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_canonical)
+    own = (p1_found, p1_defects, p2_found, p2_consensus, p2_judges, p2_agreement, p4_found, p4_repaired, p5_found, p6_pieces, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_canonical)
     return {f.__name__: f for f in own}
 
 

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from archipel.llm.automata import Trie
 from archipel.session import checkpoint, spread
 
 SHARE, RATIO, EDITS = 1e-6, 20, 2
@@ -259,48 +260,6 @@ def spelled(word: dict) -> tuple[str, str, int]:
     return core, core, at + skip
 
 
-class Trie:
-    """The sorted vocabulary as a trie: a node is a range of words with a common prefix."""
-
-    def __init__(self, words: list[str]) -> None:
-        self.words = words
-
-    def children(self, lo: int, hi: int, depth: int) -> Iterator[tuple[str, int, int]]:
-        while lo < hi:
-            w = self.words[lo]
-            if len(w) <= depth:
-                lo += 1
-                continue
-            nxt = bisect_left(self.words, w[:depth] + chr(ord(w[depth]) + 1), lo, hi)
-            yield w[depth], lo, nxt
-            lo = nxt
-
-    def near(self, word: str, edits: int) -> list[str]:
-        """All words within ``edits`` edits: the walk of the product of trie and automaton."""
-        found, states = [], {}
-        start = tuple(min(i, edits + 1) for i in range(len(word) + 1))
-
-        def move(state: tuple, ch: str) -> tuple:
-            key = (state, ch)
-            if key not in states:
-                row = [min(state[0] + 1, edits + 1)]
-                for i, c in enumerate(word):
-                    row.append(min(row[i] + 1, state[i + 1] + 1, state[i] + (c != ch), edits + 1))
-                states[key] = tuple(row)
-            return states[key]
-
-        stack = [(0, len(self.words), 0, start)]
-        while stack:
-            lo, hi, depth, state = stack.pop()
-            if state[-1] <= edits and lo < hi and len(self.words[lo]) == depth:
-                found.append(self.words[lo])
-            for ch, a, b in self.children(lo, hi, depth):
-                nxt = move(state, ch)
-                if min(nxt) <= edits:
-                    stack.append((a, b, depth + 1, nxt))
-        return found
-
-
 def confusion_steps(read: str, printed: str, most: int = 2) -> int | None:
     """Least number of confusions that turn ``printed`` into ``read``, if at most ``most``."""
     best: dict[tuple[int, int], int] = {(0, 0): 0}
