@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipel.llm import consensus, homoglyphs, mixing, names, neighbours, packing, responses, scans, splitting
+from archipel.llm import consensus, homoglyphs, mixing, names, neighbours, packing, personal, responses, scans, splitting
 from archipel.session import table
 
 
@@ -43,6 +43,14 @@ def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.alpha(table(spark, sf_dir, "dense_judgments"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.entity_rows(personal.detect(table(spark, sf_dir, "archive_chunks"))).select("chunk_id", "start_char", "end_char", "entity_type")
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.detect(table(spark, sf_dir, "archive_chunks")).select("chunk_id", "masked_text", F.size("entities").alias("n_entities"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.noise_rows(scans.worked(table(spark, sf_dir, "archive_chunks"))).select("chunk_id", "start_char", "noise_type")
 
@@ -92,7 +100,7 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_defects, p2_found, p2_consensus, p2_judges, p2_agreement, p4_found, p4_repaired, p5_found, p6_pieces, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_canonical)
+    own = (p1_found, p1_defects, p2_found, p2_consensus, p2_judges, p2_agreement, p3_found, p3_masked, p4_found, p4_repaired, p5_found, p6_pieces, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_canonical)
     return {f.__name__: f for f in own}
 
 
