@@ -139,7 +139,7 @@ def lines_of(text: str) -> list[tuple[int, str]]:
 
 def page_number(line: str) -> bool:
     s = line.strip()
-    if not PAGE.match(s):
+    if len(s) > 30 or not PAGE.match(s):
         return False
     letters = re.sub(r"[^a-z]", "", re.sub(r"(?i)page|pg|seite|folio|sheet|\bof\b|\bvon\b|\bde\b|\bp\b", "", s).lower())
     return not letters or bool(ROMAN.match(letters))
@@ -150,9 +150,13 @@ def title_like(line: str) -> bool:
     s = line.strip()
     if not 4 <= len(s) <= 90 or SECTION.match(s) or NUMBERED.match(s) or s[-1:] in ".!?;:" or s.endswith("-"):
         return False
-    words = [w for w in re.split(r"[^\w@!|]+", s) if re.search(r"[^\W\d_]", w)]
-    big = [w for w in words if len(w) > 2 and w.lower() not in SMALL]
-    return len(big) >= 2 and all(w[0].isupper() or not w[0].isalpha() or w.upper() == w for w in big)
+    big = 0
+    for w in re.findall(r"[\w@!|]+", s):
+        if len(w) > 2 and w.lower() not in SMALL and re.search(r"[^\W\d_]", w):
+            if w[0].islower() and w.upper() != w:
+                return False
+            big += 1
+    return big >= 2
 
 
 def shape(text: str) -> list[dict]:
@@ -160,19 +164,28 @@ def shape(text: str) -> list[dict]:
     rows = [{"at": a, "text": t, "page": page_number(t), "title": title_like(t), "skeleton": ""} for a, t in lines_of(text)]
     widths = sorted(len(r["text"].rstrip()) for r in rows if r["text"].strip() and not r["page"] and not r["title"])
     width = widths[int(0.8 * (len(widths) - 1))] if widths else 0
+    ends: list[str] = []  # the running text before each line, and after it
+    last = ""
+    for r in rows:
+        ends.append(last)
+        if not r["page"] and not r["title"] and r["text"].strip():
+            last = r["text"].strip()[-1]
+    starts, nxt = [""] * len(rows), ""
+    for i in range(len(rows) - 1, -1, -1):
+        starts[i] = nxt
+        r = rows[i]
+        if not r["page"] and not r["title"] and r["text"].strip():
+            nxt = r["text"].strip()[0]
     for i, r in enumerate(rows):
         s = r["text"].strip()
-        before = next((x["text"].strip() for x in reversed(rows[:i]) if x["text"].strip() and not x["page"] and not x["title"]), "")
-        after = next((x["text"].strip() for x in rows[i + 1 :] if x["text"].strip() and not x["page"] and not x["title"]), "")
-        r["short"] = bool(s) and len(s) < 0.85 * max(width, 20) or len(s) <= 60 and r["title"]
-        r["loose"] = bool(s) and not STOP_END.search(s) and not s.endswith("-") and (s[0].isupper() or s[0].isdigit()) and not SECTION.match(s) and not NUMBERED.match(s)
-        r["breaks"] = bool(before) and before[-1] not in ".!?:" or bool(after) and after[0].islower()
-        blank_before = i == 0 or not rows[i - 1]["text"].strip()
-        blank_after = i + 1 == len(rows) or not rows[i + 1]["text"].strip()
-        r["alone"] = blank_before and blank_after
-        # a candidate for repetition over pages; its skeleton is counted over the document
-        if s and not r["page"] and r["loose"] and len(s) <= 90 and len(re.findall(r"[^\W\d_]", s)) >= 4:
-            r["skeleton"] = skeleton(s)
+        r["short"] = bool(s) and (len(s) < 0.85 * max(width, 20) or len(s) <= 60 and r["title"])
+        r["loose"] = bool(s) and not r["page"] and (r["short"] or r["title"]) and not s.endswith("-") and (s[0].isupper() or s[0].isdigit()) and not STOP_END.search(s[-4:]) and not SECTION.match(s) and not NUMBERED.match(s)
+        r["breaks"] = ends[i] != "" and ends[i] not in ".!?:" or starts[i].islower()
+        if r["loose"]:
+            r["alone"] = (i == 0 or not rows[i - 1]["text"].strip()) and (i + 1 == len(rows) or not rows[i + 1]["text"].strip())
+            # a candidate for repetition over pages; its skeleton is counted over the document
+            if len(s) <= 90 and len(re.findall(r"[^\W\d_]", s)) >= 4:
+                r["skeleton"] = skeleton(s)
     return rows
 
 
@@ -224,39 +237,60 @@ def normal(word: str) -> str:
     return w[:-2] if w.endswith("'s") else w.rstrip("'")
 
 
-def running(rows: list[dict], kind: list[str | None]) -> list[dict]:
-    """Words of the running text in order: parts [(offset, text)], hyphen offset where a line end broke the word."""
-    words: list[dict] = []
+class Lexer:
+    """Looks a token up once: its word, the word's offset in it, the word's normal form."""
+
+    MEMO = 200_000
+
+    def __init__(self) -> None:
+        self.memo: dict[str, tuple[str, int, str]] = {}
+
+    def __call__(self, token: str) -> tuple[str, int, str]:
+        known = self.memo.get(token)
+        if known is None:
+            if len(self.memo) >= self.MEMO:
+                self.memo.clear()
+            core, skip = bare(token)
+            known = self.memo[token] = (core, skip, normal(core))
+        return known
+
+
+def running(rows: list[dict], kind: list[str | None]) -> list[list]:
+    """Words of the running text in order: [offset, token, offset of the hyphen where a line end broke it, offset and
+    text of what follows that line end]."""
+    words: list[list] = []
     joint = None
     for r, k in zip(rows, kind):
-        if k or not r["text"].strip():
+        text = r["text"]
+        if k or not text or text.isspace():
             if not k:
                 joint = None
             continue
-        tokens = [(r["at"] + m.start(), m[0]) for m in TOKEN.finditer(r["text"])]
-        for n, (at, t) in enumerate(tokens):
-            if n == 0 and joint is not None and re.match(r"[^\W_]", t):
-                joint["parts"].append((at, t))
-                joint["second"] = t
-                words_added = joint
-            else:
-                words_added = {"parts": [(at, t)], "hyphen": None, "second": None}
-                words.append(words_added)
-            joint = None
-            if n == len(tokens) - 1 and re.search(r"[^\W_][-‐­]$", t) and len(tokens) + len(t) > 2:
-                words_added["hyphen"] = at + len(t) - 1
-                joint = words_added
+        base, n = r["at"], 0
+        for m in TOKEN.finditer(text):
+            t = m[0]
+            n += 1
+            if joint is not None:
+                if re.match(r"[^\W_]", t):
+                    joint[3], joint[4] = base + m.start(), t
+                    last, joint = joint, None
+                    continue
+                joint = None
+            last = [base + m.start(), t, None, 0, ""]
+            words.append(last)
+        if n and t[-1] in "-‐­" and last[1] is t and len(t) > 1 and (n > 1 or len(t) > 3) and t[-2].isalnum():
+            last[2] = last[0] + len(t) - 1
+            joint = last
     return words
 
 
-def spelled(word: dict) -> tuple[str, str, int]:
+def spelled(word: list, lexer: Lexer) -> tuple[str, str, int]:
     """(the word joined, the word with its hyphen, offset of its first letter)."""
-    (at, first), rest = word["parts"][0], word["parts"][1:]
-    if word["hyphen"] is not None and rest:
-        tail = "".join(t for _, t in rest)
-        joined, skip = bare(first[:-1] + tail)
-        return joined, bare(first + tail)[0], at + skip
-    core, skip = bare(first)
+    at, first, hyphen, _, rest = word
+    if hyphen is not None and rest:
+        joined, skip, _ = lexer(first[:-1] + rest)
+        return joined, lexer(first + rest)[0], at + skip
+    core, skip, _ = lexer(first)
     return core, core, at + skip
 
 
@@ -289,20 +323,12 @@ def odd_signs(w: str) -> bool:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts, map-side combined."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            c: Counter = Counter()
-            for text in batch["raw_text"]:
-                if text:
-                    for t in TOKEN.findall(text):
-                        w = normal(bare(t)[0])
-                        if suspect_form(w):
-                            c[w] += 1
-            yield pd.DataFrame(list(c.items()), columns=["word", "n"])
-
-    return texts.mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n, small) over all texts, on the JVM side and map-side combined: plain words, edges trimmed, and how often
+    they are written in small letters."""
+    tokens = texts.select(F.explode(F.split("raw_text", r"\s+")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    word = F.regexp_replace(F.regexp_replace(F.lower("t"), r"^[\"'“”‘’«»(\[{<*_~.,;:?-]+|[\"'“”‘’«»)\]}>*_~.,;:?-]+$", ""), "’", "'")
+    small = F.when(F.col("t") == F.lower("t"), F.col("n")).otherwise(0).alias("small")
+    return tokens.select(F.regexp_replace(word, "'s$", "").alias("word"), "n", small).where("length(word) between 3 and 40").groupBy("word").agg(F.sum("n").alias("n"), F.sum("small").alias("small"))
 
 
 def readings(suspects: DataFrame, vocabulary: list[str], counts: list[int]) -> DataFrame:
@@ -320,7 +346,7 @@ def readings(suspects: DataFrame, vocabulary: list[str], counts: list[int]) -> D
                 for v in trie.near(word, EDITS):
                     m = numbers[bisect_left(words, v)]
                     steps = confusion_steps(word, v) if v != word and (m >= RATIO * n or odd_signs(word)) else None
-                    if steps:
+                    if steps and (steps == 1 or len(word) >= 6):
                         found.append((word, v, steps, m))
                 least = min((f[2] for f in found), default=0)
                 out += [f for f in found if f[2] == least]
@@ -347,6 +373,7 @@ def prepare(chunks: DataFrame) -> tuple:
     frequent = counts.where(F.col("n") >= least).orderBy("word").collect()  # at most 1 / SHARE words
     ordered = sorted((r["word"], r["n"]) for r in frequent if PLAIN.match(r["word"]))
     vocabulary, numbers = [w for w, _ in ordered], [n for _, n in ordered]
+    proper = {r["word"] for r in frequent if r["small"] < 0.4 * r["n"]}
 
     def title_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -363,71 +390,57 @@ def prepare(chunks: DataFrame) -> tuple:
     scans = checkpoint(spread(scans.join(own, "chunk_id", "left"), "chunk_id"))
     known = spark.sparkContext.broadcast(set(vocabulary))
 
-    def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Suspects with their chunk and the word before; and, without chunk, how often known words follow each other."""
+        lexer, have = Lexer(), known.value
         for batch in batches:
-            c: Counter = Counter()
-            for text, rep in zip(batch["raw_text"], batch["repeated"]):
+            out, follows = [], {}
+            for chunk, text, rep in zip(batch["chunk_id"], batch["raw_text"], batch["repeated"]):
                 rows = shape(text)
-                prev = "^"
+                prev, own = "^", {}
                 for w in running(rows, furniture(rows, dict(rep) if rep is not None else {}, usual.value)):
-                    joined, whole, _ = spelled(w)
-                    for x in {normal(joined), normal(whole)}:
-                        if x not in known.value and suspect_form(x):
-                            c[prev, x] += 1
-                    prev = normal(whole)
-            yield pd.DataFrame([(p, x, n) for (p, x), n in c.items()], columns=["prev", "word", "n"])
-
-    seen = checkpoint(scans.mapInPandas(suspects, "prev string, word string, n bigint").groupBy("prev", "word").agg(F.sum("n").alias("n")))
-    rare = spread(seen.groupBy("word").agg(F.sum("n").alias("in_scans")).join(counts, "word", "left").select("word", F.coalesce("n", "in_scans").alias("n")), "word")
+                    if w[2] is None:
+                        x = lexer(w[1])[2]
+                        if x in have:
+                            follows[prev, x] = follows.get((prev, x), 0) + 1
+                        elif suspect_form(x):
+                            own[prev, x] = own.get((prev, x), 0) + 1
+                        prev = x
+                    else:
+                        joined, whole, _ = spelled(w, lexer)
+                        for x in {normal(joined), normal(whole)}:
+                            if x not in have and suspect_form(x):
+                                own[prev, x] = own.get((prev, x), 0) + 1
+                        prev = normal(whole)
+                out += [(chunk, p, x, n) for (p, x), n in own.items()]
+            yield pd.DataFrame(out + [(None, p, x, n) for (p, x), n in follows.items()], columns=["chunk_id", "prev", "word", "n"])
+
+    seen = checkpoint(scans.mapInPandas(pairs, "chunk_id string, prev string, word string, n bigint"))
+    own = seen.where("chunk_id is not null")
+    rare = spread(own.groupBy("word").agg(F.sum("n").alias("in_scans")).join(counts, "word", "left").select("word", F.greatest("in_scans", F.coalesce("n", F.lit(0))).alias("n")), "word")
     found = checkpoint(readings(rare, vocabulary, numbers))
     # several readings: the one that most often follows the word before
-    options = found.withColumn("options", F.count("*").over(Window.partitionBy("word"))).where("options > 1").select("reading").distinct()
-    open_words = spark.sparkContext.broadcast({r[0] for r in options.collect()})  # part of the vocabulary
-
-    def follows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            c: Counter = Counter()
-            for text in batch["raw_text"]:
-                tokens = [normal(bare(t)[0]) for t in TOKEN.findall(text)]
-                for p, w in zip(["^", *tokens], tokens):
-                    if w in open_words.value:
-                        c[p, w] += 1
-            yield pd.DataFrame([(p, w, n) for (p, w), n in c.items()], columns=["prev", "reading", "after"])
-
-    pairs = distinct_texts.mapInPandas(follows, "prev string, reading string, after bigint").groupBy("prev", "reading").agg(F.sum("after").alias("after"))
-    ranked = seen.select("prev", "word").join(found, "word").join(pairs, ["prev", "reading"], "left")
+    options = found.select("reading").distinct()
+    follows = seen.where("chunk_id is null").join(options, seen.word == options.reading, "left_semi").groupBy("prev", F.col("word").alias("reading")).agg(F.sum("n").alias("after"))
+    ranked = own.groupBy("prev", "word").agg(F.count("*").alias("c")).join(found, "word").join(follows, ["prev", "reading"], "left")
     w = Window.partitionBy("prev", "word").orderBy(F.coalesce("after", F.lit(0)).desc(), F.desc("weight"), "reading")
     best = ranked.withColumn("r", F.row_number().over(w)).where("r = 1").select("prev", "word", "reading")
-    return scans, usual, (best, vocabulary, numbers)
+    fixes = own.join(best, ["prev", "word"]).groupBy("chunk_id").agg(F.collect_list(F.struct("prev", "word", "reading")).alias("fixes"))  # words of one chunk
+    return scans, usual, (fixes, vocabulary, numbers, proper)
 
 
 def worked(chunks: DataFrame) -> DataFrame:
     """(chunk_id, noise array<struct<start_char, noise_type, reading>>, clean_text) of every scan."""
-    scans, usual, (best, vocabulary, numbers) = prepare(chunks)
+    scans, usual, (fixes, vocabulary, numbers, proper) = prepare(chunks)
     spark = chunks.sparkSession
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for c, text, rep in zip(batch["chunk_id"], batch["raw_text"], batch["repeated"]):
-                rows, prev, seen = shape(text), "^", set()
-                for w in running(rows, furniture(rows, dict(rep) if rep is not None else {}, usual.value)):
-                    joined, whole, _ = spelled(w)
-                    seen |= {(prev, normal(joined)), (prev, normal(whole))}
-                    prev = normal(whole)
-                out += [(c, p, x) for p, x in seen if suspect_form(x)]
-            yield pd.DataFrame(out, columns=["chunk_id", "prev", "word"])
-
-    needed = scans.mapInPandas(keys, "chunk_id string, prev string, word string").join(best, ["prev", "word"])
-    fixes = needed.groupBy("chunk_id").agg(F.collect_list(F.struct("prev", "word", "reading")).alias("fixes"))  # words of one chunk
-    shared = spark.sparkContext.broadcast(dict(zip(vocabulary, numbers)))
+    shared = spark.sparkContext.broadcast((dict(zip(vocabulary, numbers)), proper))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = shared.value
+        (count, proper_), lexer = shared.value, Lexer()
         for batch in batches:
             noise, clean = [], []
             for text, rep, fix in zip(batch["raw_text"], batch["repeated"], batch["fixes"]):
-                n, c = repair(text, dict(rep) if rep is not None else {}, {(f["prev"], f["word"]): f["reading"] for f in fix} if fix is not None else {}, count, usual.value)
+                n, c = repair(text, dict(rep) if rep is not None else {}, {(f["prev"], f["word"]): f["reading"] for f in fix} if fix is not None else {}, count, usual.value, lexer, proper_)
                 noise.append([{"start_char": a, "noise_type": t, "reading": r} for a, t, r in n])
                 clean.append(c)
             yield pd.DataFrame({"chunk_id": batch["chunk_id"], "noise": noise, "clean_text": clean})
@@ -435,9 +448,8 @@ def worked(chunks: DataFrame) -> DataFrame:
     return spread(scans.join(fixes, "chunk_id", "left"), "chunk_id").mapInPandas(run, "chunk_id string, noise array<struct<start_char:int,noise_type:string,reading:string>>, clean_text string")
 
 
-def broken(word: dict, joined: str, whole: str, count: dict[str, int], fixed: bool) -> bool:
+def broken(second: str, joined: str, whole: str, count: dict[str, int], fixed: bool) -> bool:
     """Whether the hyphen at a line end is only the line's: joined, the word is better known than with its hyphen."""
-    second = word["second"] or ""
     if not second or not second[0].isalpha() or second[0].isupper() and not joined.isupper():
         return False
     if NOT_WORD.search(joined) or not re.search(r"[^\W\d_]-", whole) or re.search(r"\d$", whole.split("-")[0]):
@@ -451,46 +463,44 @@ def broken(word: dict, joined: str, whole: str, count: dict[str, int], fixed: bo
     return not (count.get(normal(left), 0) and count.get(normal(right), 0))
 
 
-def repair(text: str, counts: dict[str, int], fixes: dict[tuple[str, str], str], count: dict[str, int], titles: set[str]) -> tuple[list[tuple[int, str, str | None]], str]:
+def repair(text: str, counts: dict[str, int], fixes: dict[tuple[str, str], str], count: dict[str, int], titles: set[str], lexer: Lexer, proper: set[str]) -> tuple[list[tuple[int, str, str | None]], str]:
     rows = shape(text)
     kind = furniture(rows, counts, titles)
     noise: list[tuple[int, str, str | None]] = [(r["at"], k, None) for r, k in zip(rows, kind) if k]
-    replaced: dict[int, tuple[str, int]] = {}  # offset of a word's first part -> its text in the clean version
+    replaced: dict[int, str] = {}  # offset of a token -> its text in the clean version
     gone: set[int] = set()
     prev, before = "^", None
     for w in running(rows, kind):
-        joined, whole, at = spelled(w)
-        j, h = normal(joined), normal(whole)
-        parts = w["parts"]
-        cut = w["hyphen"] is not None and len(parts) > 1
-        use = joined
-        reading = None
-        if cut:
-            is_break = broken(w, joined, whole, count, (prev, j) in fixes)
-            if is_break:
-                noise.append((w["hyphen"], "hyphen", None))
-            else:
-                use = whole
-            reading = fixes.get((prev, j)) if is_break else fixes.get((prev, h))
-            known = count.get(j if is_break else h, 0)
+        start, token, hyphen, second_at, second = w
+        if hyphen is None:
+            core, skip, h = lexer(token)
+            if h in count or not suspect_form(h):
+                prev, before = h, token
+                continue
+            use, at, reading = core, start + skip, fixes.get((prev, h))
         else:
-            reading, known = fixes.get((prev, h)), count.get(h, 0)
+            joined, whole, at = spelled(w, lexer)
+            j, h = normal(joined), normal(whole)
+            use, reading = whole, None
+            if second:
+                is_break = broken(second, joined, whole, count, (prev, j) in fixes)
+                if is_break:
+                    noise.append((hyphen, "hyphen", None))
+                    use = joined
+                x = normal(use)
+                reading = fixes.get((prev, x)) if x not in count and suspect_form(x) else None
+                replaced[start] = (token[:-1] if is_break else token) + second
+                gone.add(second_at)
+        x = normal(use)
         opens = before is None or before[-1] in ".!?:)\"'" or before.isupper()
-        before = parts[-1][1]
-        name = use[:1].isupper() and not use.isupper() and not opens and not odd_signs(normal(use))  # a name, not a slip
-        if not known and not name and suspect_form(normal(use)) and (reading or odd_signs(normal(use))):
+        prev, before = h, second or token
+        name = use[:1].isupper() and not use.isupper() and not opens and not odd_signs(x) and reading not in proper  # a name, not a slip
+        if x not in count and not name and suspect_form(x) and (reading or odd_signs(x)):
             noise.append((at, "char", reading))
-        else:
-            reading = None
-        if cut or reading:
-            raw = "".join(t for _, t in parts) if not cut else (parts[0][1][:-1] if use is joined else parts[0][1]) + "".join(t for _, t in parts[1:])
             if reading:
-                shown = reading.upper() if use.isupper() and len(use) > 1 else reading.capitalize() if use[:1].isupper() or use[:1] in "0159!|" and parts[0][0] == 0 else reading
+                shown = reading.upper() if use.isupper() and len(use) > 1 else reading.capitalize() if use[:1].isupper() else reading
                 tail = "'s" if re.search(r"['’]s$", use) else ""
-                raw = raw.replace(use, shown + tail, 1)
-            replaced[parts[0][0]] = (raw, 0)
-            gone |= {a for a, _ in parts[1:]}
-        prev = h
+                replaced[start] = replaced.get(start, token).replace(use, shown + tail, 1)
     paragraphs: list[list[str]] = [[]]
     for r, k in zip(rows, kind):
         if k:
@@ -505,7 +515,7 @@ def repair(text: str, counts: dict[str, int], fixes: dict[tuple[str, str], str],
         for m in TOKEN.finditer(r["text"]):
             a = r["at"] + m.start()
             if a not in gone:
-                paragraphs[-1].append(replaced[a][0] if a in replaced else m[0])
+                paragraphs[-1].append(replaced.get(a, m[0]))
     joined_up: list[list[str]] = []
     for p in paragraphs:
         if not p:
