@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from archipel.plans import archive, search
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return search.QUERIES | archive.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return search.SQL | archive.SQL
