@@ -484,7 +484,7 @@ def corpus_words(rows: DataFrame, names: set[str]) -> Words:
     are kept, so the sets have at most a million members."""
     view = F.regexp_replace("raw_text", MARK.pattern, " ")
     trimmed = F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "")
-    tokens = rows.select(F.explode(F.split(view, r"\s+")).alias("w")).select(trimmed.alias("w")).where(F.col("w").rlike(r"^\p{L}+(?:['’-]\p{L}+)*$")).groupBy("w").agg(F.count("*").alias("n"))
+    tokens = rows.select(F.explode(F.split(F.translate(view, "\n\t\r", "   "), " ")).alias("w")).select(trimmed.alias("w")).where(F.col("w").rlike(r"^\p{L}+(?:['’-]\p{L}+)*$")).groupBy("w").agg(F.count("*").alias("n"))
     small = F.col("w") == F.lower("w")
     low = F.regexp_replace(F.regexp_replace(F.lower("w"), "’", "'"), "'s$", "")
     by = tokens.groupBy(low.alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(small, F.col("n")).otherwise(0)).alias("small"))
