@@ -109,6 +109,7 @@ SECTION = re.compile(r"^\W*(?:s[e3c][ec]t[il1!|í][o0]n|section|chapter|part|app
 NUMBERED = re.compile(r"^\W*(?:\d{1,2}|[IVX]{1,5}|[A-Z])[.)]\s+\S")
 STOP_END = re.compile(r"[.!?:;,](?:[\"'’”)\]]*)$")
 TOKEN = re.compile(r"\S+")
+TITLE_WORD = re.compile(r"[\w@!|]+")
 EDGE_L, EDGE_R = re.compile(r"^[\"'“”‘’«»(\[{<*_~.,;:?-]+"), re.compile(r"[\"'“”‘’«»)\]}>*_~.,;:?-]+$")
 PLAIN = re.compile(r"^[^\W\d_]+(?:['’-][^\W\d_]+)*(?:['’]s?)?$")
 NOT_WORD = re.compile(r"@.*[.(]|^https?:|www\.|\d{2}|^#|[/\\=+]|\(at\)|_")
@@ -128,9 +129,9 @@ def skeleton(line: str) -> str:
 
 def lines_of(text: str) -> list[tuple[int, str]]:
     """(offset after the line mark, text of the line)."""
-    out, at = [], 0
+    out, at, marked = [], 0, "OCR Line" in text
     for raw in text.split("\n"):
-        m = MARK.match(raw)
+        m = MARK.match(raw) if marked else None
         skip = m.end() if m else 0
         out.append((at + skip, raw[skip:]))
         at += len(raw) + 1
@@ -148,15 +149,16 @@ def page_number(line: str) -> bool:
 def title_like(line: str) -> bool:
     """Short, unpunctuated, capitalised throughout, no section title."""
     s = line.strip()
-    if not 4 <= len(s) <= 90 or SECTION.match(s) or NUMBERED.match(s) or s[-1:] in ".!?;:" or s.endswith("-"):
+    if not 4 <= len(s) <= 90 or s[-1] in ".!?;:-":
         return False
     big = 0
-    for w in re.findall(r"[\w@!|]+", s):
+    for m in TITLE_WORD.finditer(s):
+        w = m[0]
         if len(w) > 2 and w.lower() not in SMALL and re.search(r"[^\W\d_]", w):
             if w[0].islower() and w.upper() != w:
                 return False
             big += 1
-    return big >= 2
+    return big >= 2 and not SECTION.match(s) and not NUMBERED.match(s)
 
 
 def shape(text: str) -> list[dict]:
@@ -164,7 +166,7 @@ def shape(text: str) -> list[dict]:
     rows = [{"at": a, "text": t, "page": page_number(t), "title": title_like(t), "skeleton": ""} for a, t in lines_of(text)]
     widths = sorted(len(r["text"].rstrip()) for r in rows if r["text"].strip() and not r["page"] and not r["title"])
     width = widths[int(0.8 * (len(widths) - 1))] if widths else 0
-    ends: list[str] = []  # the running text before each line, and after it
+    ends: list[str] = []  # the end of text before each line, and its start after it
     last = ""
     for r in rows:
         ends.append(last)
@@ -179,7 +181,7 @@ def shape(text: str) -> list[dict]:
     for i, r in enumerate(rows):
         s = r["text"].strip()
         r["short"] = bool(s) and (len(s) < 0.85 * max(width, 20) or len(s) <= 60 and r["title"])
-        r["loose"] = bool(s) and not r["page"] and (r["short"] or r["title"]) and not s.endswith("-") and (s[0].isupper() or s[0].isdigit()) and not STOP_END.search(s[-4:]) and not SECTION.match(s) and not NUMBERED.match(s)
+        r["loose"] = (r["short"] or r["title"]) and not r["page"] and (s[0].isupper() or s[0].isdigit()) and not s.endswith("-") and not STOP_END.search(s[-4:]) and not SECTION.match(s) and not NUMBERED.match(s)
         r["breaks"] = ends[i] != "" and ends[i] not in ".!?:" or starts[i].islower()
         if r["loose"]:
             r["alone"] = (i == 0 or not rows[i - 1]["text"].strip()) and (i + 1 == len(rows) or not rows[i + 1]["text"].strip())

@@ -99,7 +99,8 @@ def split_items(df: DataFrame, keys: list[str], text: str = "raw_text", limit: i
         for batch in batches:
             texts = batch["__text"].tolist()
             pieces = pd.DataFrame(cut_batch(texts, limit, overlap), columns=["i", "start_word", "end_word", "start_char", "end_char", "hard_cut"])
-            out = batch[keys].iloc[pieces["i"]].reset_index(drop=True)
+            at = pieces["i"].to_numpy(int)
+            out = pd.DataFrame({k: pd.Series(batch[k].to_numpy(object)[at], dtype=object) for k in keys})
             out["chunk_index"] = pieces.groupby("i").cumcount()
             for c in ("start_word", "end_word", "start_char", "end_char"):
                 out[c] = pieces[c]
@@ -107,7 +108,7 @@ def split_items(df: DataFrame, keys: list[str], text: str = "raw_text", limit: i
             before = pieces.groupby("i")["end_word"].shift()
             out["overlap_words"] = (before - pieces["start_word"]).fillna(0).astype(int)
             out["hard_cut"] = pieces["hard_cut"].astype(bool)
-            out["piece_text"] = [texts[i][a:b] for i, a, b in zip(pieces["i"], pieces["start_char"], pieces["end_char"])]
+            out["piece_text"] = pd.Series([texts[i][a:b] for i, a, b in zip(at, pieces["start_char"], pieces["end_char"])], dtype=object)
             yield out
 
     return rows.mapInPandas(run, schema)
