@@ -34,8 +34,8 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, where: str |
     for b in range(max(1, -(-n // BLOCK))):
         local = numbered.where(F.col("block") == b).select("query_id", "dense").collect()  # about BLOCK rows
         ids = np.array([r["query_id"] for r in local], object)
-        q = np.array([r["dense"] for r in local], np.float64).reshape(len(local), -1)
-        norm = np.linalg.norm(q, axis=1) if len(local) else np.zeros(0)
+        q = np.array([r["dense"] for r in local], np.float64) if local else np.zeros((0, 1))
+        norm = np.linalg.norm(q, axis=1)
         ids, q = ids[norm > 0], q[norm > 0] / norm[norm > 0, None]
         shared = spark.sparkContext.broadcast((ids, q))
 
