@@ -27,7 +27,7 @@ from archipel.session import checkpoint, spread
 
 LABELS = ("O", "PERSON_NAME", "EMAIL", "PHONE", "ID_NUMBER", "STREET_ADDRESS")
 INDEX = {x: i for i, x in enumerate(LABELS)}
-TRAIN_CHUNKS, EPOCHS, RATE, PULL, ROUNDS, SHARE, FREQUENT = 3000, 20, 0.05, 0.02, 4, 1e-6, 2e-5
+TRAIN_CHUNKS, EPOCHS, RATE, PULL, ROUNDS, SHARE, FREQUENT = 500, 20, 0.05, 0.02, 4, 1e-6, 2e-5
 
 # Words about names, numbers and streets.
 TITLES = set("mr mrs ms miss mx dr prof professor doctor sen senator rep representative judge justice gov governor capt captain sgt sergeant lt lieutenant col colonel gen general rev reverend sir dame lord lady hon nurse officer inspector detective sister brother father pastor president chairman chairwoman secretary minister mayor coach chief deputy herr frau monsieur madame señor señora".split())

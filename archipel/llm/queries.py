@@ -119,5 +119,23 @@ select distinct item_type, item_id, case when longest > 350 then 'hard' else 'bo
 """
 
 
+P2_AGREEMENT = r"""
+with r as (
+    select distinct record_id, query_id, chunk_id, relevance_score, regexp_replace(lower(relevance_label), '[^a-z]', '', 'g') as l,
+        nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(judge_model)), '__|\\', '/', 'g'), '^.*/', ''), '[_\s]+', '-', 'g'), '') as judge
+    from dense_judgments where judgment_status = 'completed' and query_id is not null and chunk_id is not null
+), v as (
+    select query_id, chunk_id, judge, case when relevance_score between 0 and 3 then relevance_score
+        when levenshtein(l, 'irrelevant') <= 2 then 0 when levenshtein(l, 'related') <= 2 then 1 when levenshtein(l, 'highlyrelevant') <= 2 then 2 when levenshtein(l, 'perfectlyrelevant') <= 2 then 3 end as label from r where judge is not null
+), c as (select query_id, chunk_id, label, count(*) as n from v where label is not null group by all),
+m as (select *, sum(n) over (partition by query_id, chunk_id) as m from c qualify m > 1),
+i as (select query_id, chunk_id, any_value(m) as m, sum(n * (m - n)) as off from m group by all),
+o as (select count(*) as items, sum(m)::bigint as pairable_votes, sum(off / (m - 1)) as d from i),
+t as (select sum(t * t) as sq, sum(t) as total from (select sum(n) as t from m group by label))
+select items, pairable_votes, round(d / pairable_votes, 6) as observed, round((total * total - sq) / (total * (total - 1)), 6) as expected,
+    round(1 - (d / pairable_votes) / ((total * total - sq) / (total * (total - 1))), 6) as alpha from o, t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_FOUND}
+    return {"p2_agreement": P2_AGREEMENT, "p6_found": P6_FOUND}
