@@ -368,8 +368,7 @@ def prepare(chunks: DataFrame) -> tuple:
     word before it: (prev, word, reading)."""
     spark = chunks.sparkSession
     scans = checkpoint(scanned(chunks))
-    distinct_texts = spread(chunks.select("chunk_id", "raw_text").where("raw_text is not null"), "chunk_id").distinct()
-    counts = checkpoint(word_counts(distinct_texts))
+    counts = checkpoint(word_counts(chunks.select("raw_text").where("raw_text is not null")))  # over all rows as they stand
     total = counts.agg(F.sum("n")).head()[0] or 0
     least = max(float(RATIO), SHARE * total)
     frequent = counts.where(F.col("n") >= least).orderBy("word").collect()  # at most 1 / SHARE words
