@@ -73,3 +73,11 @@ def best_threshold(sweep: DataFrame, floor: float = 0.0) -> DataFrame:
 
 def pending(results: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return results.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def ensemble_metrics(votes: DataFrame, ks: list[int]) -> DataFrame:
+    """Per strategy and k: mean over queries of the mean score, the share judged relevant by a majority, and the mean
+    deviation between judges, over the first k ranks."""
+    rows = votes.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).where("rank <= k")
+    per = rows.groupBy("evaluation_strategy", "k", "query_id").agg(F.avg("mean_score").alias("m"), F.avg((F.col("vote_rate") >= 0.5).cast("double")).alias("v"), F.avg("score_std").alias("s"))
+    return per.groupBy("evaluation_strategy", "k").agg(F.count("*").alias("queries"), F.round(F.avg("m"), 5).alias("mean_score"), F.round(F.avg("v"), 5).alias("majority_rate"), F.round(F.avg("s"), 5).alias("mean_std"))

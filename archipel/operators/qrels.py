@@ -65,3 +65,12 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, size: int, seed:
     r = F.row_number().over(Window.partitionBy(stratum).orderBy(dice(seed, key), key))
     ranked = rows.withColumn("_late", (r > base).cast("int")).withColumn("_d", dice(seed, key))
     return ranked.orderBy("_late", "_d", key).limit(size).drop("_late", "_d")
+
+
+def quota_sample(rows: DataFrame, band: str, family: str, key: str, size: int, quotas: dict[str, float], seed: int = 42) -> DataFrame:
+    """Per score band its share of ``size``, dealt evenly to the families of the band in random order."""
+    share = F.coalesce(F.element_at(F.create_map(*[x for b, q in quotas.items() for x in (F.lit(b), F.lit(round(size * q)))]), F.col(band)), F.lit(0))
+    turn = F.row_number().over(Window.partitionBy(band, family).orderBy(dice(seed, key), key))
+    dealt = rows.withColumn("_turn", turn)
+    place = F.row_number().over(Window.partitionBy(band).orderBy("_turn", family, key))
+    return dealt.withColumn("_place", place).where(F.col("_place") <= share).drop("_turn", "_place")

@@ -96,3 +96,13 @@ def masking_metrics(pred: DataFrame, gold: DataFrame, texts: DataFrame, group: s
     sums = row.agg(zero("chars").alias("chars"), zero("masked").alias("masked"), zero("sensitive").alias("sensitive"), zero("shared_chars").alias("covered"))
     r, p = ratio(F.col("covered"), F.col("sensitive")), ratio(F.col("covered"), F.col("masked"))
     return sums.select("chars", "masked", "sensitive", "covered", F.round(r, 6).alias("ssr"), F.round(p, 6).alias("ssp"), F.round(f1(p, r), 6).alias("f1"), F.round(F.when(F.col("sensitive") > 0, 1 - r).otherwise(0.0), 6).alias("rstr"), F.round(ratio(F.col("masked"), F.col("chars")), 6).alias("mcr"))
+
+
+def repaired(text, entity, start, end, reach: int = 80) -> F.Column:
+    """The start of ``entity`` in ``text``: at its offsets, with an inclusive end, counted from one, or found within
+    ``reach`` characters; null where it is nowhere near."""
+    at = lambda s, n: F.substr(text, s + 1, n)
+    n = F.length(entity)
+    low = F.greatest(start - reach, F.lit(0))
+    near = F.instr(F.substr(text, low + 1, n + 2 * reach), entity)
+    return F.when((at(start, end - start) == entity) | (at(start, end - start + 1) == entity), start).when((start > 0) & (at(start - 1, n) == entity), start - 1).when(near > 0, low + near - 1)

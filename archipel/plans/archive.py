@@ -281,6 +281,53 @@ def masked_chunks(spark, d):
     return masking.mask_spans(t, g)
 
 
+def span_repair(spark, d):
+    """Offsets the older masker recorded, put right where its text is found."""
+    t = chunks(spark, d).where("raw_text is not null").groupBy("chunk_id").agg(F.min("raw_text").alias("raw_text"))
+    g = gold_spans(spark, d).where("text is not null").join(t, "chunk_id")
+    at = spans.repaired(F.col("raw_text"), F.col("text"), F.col("start_char"), F.col("end_char"))
+    return g.select("chunk_id", "start_char", "label", "text", at.alias("repaired_start"))
+
+
+def dataset_summary(spark, d):
+    rows = chunks(spark, d).select("chunk_id", "dataset", F.length("raw_text").cast("double").alias("n")).distinct()
+    q = lambda p, name: F.round(F.percentile("n", F.lit(p)), 6).alias(name)
+    return rows.groupBy("dataset").agg(F.count("n").alias("n"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("std"), F.min("n").alias("least"), q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), F.max("n").alias("most"))
+
+
+def label_support(spark, d):
+    return gold_spans(spark, d).groupBy("label").agg(F.count("*").alias("spans"), F.count_distinct("chunk_id").alias("chunks"), F.round(F.avg(F.col("end_char") - F.col("start_char")), 6).alias("mean_chars"))
+
+
+def assisted_gold_ids(spark, d):
+    """A gold id for surfaces typed at least twice under one type."""
+    rows = coref_rows(spark, d).where(~T.is_ambiguous(F.col("surface")))
+    n = F.count("*").over(Window.partitionBy("mention_type", "surface"))
+    return rows.withColumn("n", n).where("n >= 2").select("mention_id", F.concat_ws("_", F.lit("gold"), F.lower("mention_type"), F.regexp_replace("surface", " ", "_")).alias("gold_id"))
+
+
+def quota_sample(spark, d):
+    s = F.col("score") * 10
+    band = F.when(s < 0.15, "very_low").when(s < 0.4, "low").when(s < 0.7, "medium").otherwise("high")
+    rows = predictions(spark, d).select(F.col("ord").cast("string").alias("key"), F.col("label").alias("family"), band.alias("band")).distinct()
+    return qrels.quota_sample(rows, "band", "family", "key", 200, {"very_low": 0.2, "low": 0.35, "medium": 0.35, "high": 0.1})
+
+
+def relation_summary(spark, d):
+    rows = relations.normalized(predictions(spark, d), relations.relation_schema(spark), 0.0)
+    per = rows.groupBy("relation").agg(F.count("*").alias("edges"), F.count_distinct("head").alias("heads"), F.count_distinct("tail").alias("tails"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return per.join(F.broadcast(relations.relation_schema(spark).select("relation", "family").distinct()), "relation")
+
+
+def context_windows(spark, d):
+    """A mention with the text around it, 40 characters to each side, marked."""
+    t = chunks(spark, d).where("raw_text is not null").groupBy("chunk_id").agg(F.min("raw_text").alias("t"))
+    g = gold_spans(spark, d).join(t, "chunk_id").where((F.col("start_char") >= 0) & (F.col("end_char") <= F.length("t")))
+    left = F.substr("t", F.greatest(F.col("start_char") - 40, F.lit(0)) + 1, F.least(F.col("start_char"), F.lit(40)))
+    mid = F.substr("t", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
+    return g.select("chunk_id", "start_char", "end_char", F.md5(F.concat(left, F.lit("[MENTION]"), mid, F.lit("[/MENTION]"), F.substr("t", F.col("end_char") + 1, F.lit(40)))).alias("digest")).distinct()
+
+
 def document_chunks(spark, d):
     return chunking.chunk_documents(documents(spark, d))
 
@@ -462,6 +509,16 @@ SQL = {
     "span_mismatches": f"with {SPAN_SQL}, x as (select chunk_id, start_char, end_char, min(label) as pl from sp where extractor = 'gliner' group by all), y as (select chunk_id, start_char, end_char, min(label) as gl from sp where extractor = 'manual_entry' group by all), j as (select case when gl is null then 'UNMATCHED_PREDICTION' when pl is null then 'MISSING_GOLD' when pl <> gl then 'LABEL_MISMATCH' end as kind from x full join y on x.chunk_id = y.chunk_id and x.start_char = y.start_char and x.end_char = y.end_char) select kind, count(*) as n from j where kind is not null group by 1",
     "merged_span_length": f"with {SPAN_SQL}, d as (select distinct chunk_id, start_char, end_char from sp) select chunk_id, m::bigint as merged_chars from {MERGE_SQL.format(t='d')}",
     "masking_metrics": f"with {SPAN_SQL}, {GOLD_SQL}, ps as (select distinct chunk_id, start_char, end_char from sp where chunk_id in (select chunk_id from archive_chunks)), u as (select * from ps union all select * from gs), tx as (select chunk_id, max(length(raw_text)) as chars from archive_chunks group by 1), mp as {MERGE_SQL.format(t='ps')}, mg as {MERGE_SQL.format(t='gs')}, mu as {MERGE_SQL.format(t='u')}, s as (select sum(chars)::bigint as chars, coalesce(sum(mp.m), 0)::bigint as masked, coalesce(sum(mg.m), 0)::bigint as sensitive, coalesce(sum(coalesce(mp.m, 0) + coalesce(mg.m, 0) - mu.m), 0)::bigint as covered from tx left join mp using (chunk_id) left join mg using (chunk_id) left join mu using (chunk_id)) select *, round(covered / sensitive, 6) as ssr, round(covered / masked, 6) as ssp, round(2 * covered / (sensitive + masked), 6) as f1, round(1 - covered / sensitive, 6) as rstr, round(masked / chars, 6) as mcr from s",
+    "span_repair": """with t as (select chunk_id, min(raw_text) as t from archive_chunks where raw_text is not null group by 1), g as (select distinct chunk_id, start_char, end_char, label, text from (select chunk_id, e.start as start_char, e."end" as end_char, e.entity_type as label, e.text as text from (select chunk_id, unnest(sensitive_entities) as e from archive_chunks)) where start_char is not null and end_char > start_char and text is not null)
+        select chunk_id, start_char, label, text, case when substr(t, start_char + 1, end_char - start_char) = text or substr(t, start_char + 1, end_char - start_char + 1) = text then start_char when start_char > 0 and substr(t, start_char, length(text)) = text then start_char - 1
+        when instr(substr(t, greatest(start_char - 80, 0) + 1, length(text) + 160), text) > 0 then greatest(start_char - 80, 0) + instr(substr(t, greatest(start_char - 80, 0) + 1, length(text) + 160), text) - 1 end as repaired_start from g join t using (chunk_id)""",
+    "dataset_summary": "with r as (select distinct chunk_id, dataset, length(raw_text)::double as n from archive_chunks) select dataset, count(n) as n, round(avg(n), 6) as mean, round(stddev_samp(n), 6) as std, min(n) as least, round(quantile_cont(n, 0.25), 6) as q1, round(quantile_cont(n, 0.5), 6) as median, round(quantile_cont(n, 0.75), 6) as q3, max(n) as most from r group by 1",
+    "label_support": """with g as (select distinct chunk_id, start_char, end_char, label, text from (select chunk_id, e.start as start_char, e."end" as end_char, e.entity_type as label, e.text as text from (select chunk_id, unnest(sensitive_entities) as e from archive_chunks)) where start_char is not null and end_char > start_char) select label, count(*) as spans, count(distinct chunk_id) as chunks, round(avg(end_char - start_char), 6) as mean_chars from g group by 1""",
+    "assisted_gold_ids": f"with {COREF_SQL} select mention_id, concat_ws('_', 'gold', lower(mention_type), replace(surface, ' ', '_')) as gold_id from (select *, count(*) over (partition by mention_type, surface) as n from g where not (surface in ({QUOTED(T.AMBIGUOUS)}) or (not contains(surface, ' ') and length(surface) <= 3))) where n >= 2",
+    "quota_sample": f"with {PRED_SQL}, r as (select distinct ord::varchar as key, label as family, case when score * 10 < 0.15 then 'very_low' when score * 10 < 0.4 then 'low' when score * 10 < 0.7 then 'medium' else 'high' end as band from p), t as (select *, row_number() over (partition by band, family order by {DICE_SQL.format(k='key')}, key) as turn from r), q as (select *, row_number() over (partition by band order by turn, family, key) as place from t) select key, family, band from q where place <= case band when 'very_low' then 40 when 'low' then 70 when 'medium' then 70 else 20 end",
+    "relation_summary": f"with {NORMALIZED_SQL.format(t=0.0)} select relation, count(*) as edges, count(distinct head) as heads, count(distinct tail) as tails, round(avg(score), 6) as mean_score, case relation when 'WORKS_FOR' then 'actor_affiliation' when 'PART_OF' then 'structure' else 'location' end as family from normal group by 1",
+    "context_windows": """with t as (select chunk_id, min(raw_text) as t from archive_chunks where raw_text is not null group by 1), g as (select distinct chunk_id, start_char, end_char from (select chunk_id, e.start as start_char, e."end" as end_char from (select chunk_id, unnest(sensitive_entities) as e from archive_chunks)) where start_char is not null and end_char > start_char)
+        select distinct chunk_id, start_char, end_char, md5(substr(t, greatest(start_char - 40, 0) + 1, least(start_char, 40)) || '[MENTION]' || substr(t, start_char + 1, end_char - start_char) || '[/MENTION]' || substr(t, end_char + 1, 40)) as digest from g join t using (chunk_id) where start_char >= 0 and end_char <= length(t)""",
     "qrel_dedup": f"select query_id, query, source_chunk_id from (select distinct query_id, query, source_chunk_id from dense_judgments where query is not null) qualify row_number() over (partition by {FORM_SQL} order by source_chunk_id nulls first, query_id nulls first) = 1",
     "query_ids": f"select distinct source_chunk_id, query, 'q_' || substr(sha1(concat_ws('|', source_chunk_id, {FORM_SQL})), 1, 16) as made_id from (select distinct query_id, query, source_chunk_id from dense_judgments where query is not null)",
     "qrel_validation": r"""with r as (select trim(coalesce(query, '')) as q, trim(coalesce(expected_relevant_information, '')) as e, trim(coalesce(rationale, '')) as a, trim(coalesce(evaluation_strategy, '')) as t, trim(coalesce(relevance_label, '')) as l, coalesce(judgment_status = 'failed', false) as x from dense_judgments),
@@ -473,4 +530,4 @@ SQL = {
     "unique_violations": "select chunk_id, count(*) as n from archive_chunks group by 1 having count(*) > 1",
 }
 
-QUERIES = {f.__name__: f for f in (text_normalize, word_windows, stable_ids, vector_point_ids, text_quality, public_candidates, candidate_summary, archive_skeleton_nodes, archive_skeleton_edges, graph_statistics, connected_mentions, transcript_turns, speaker_counts, ocr_lines, surface_block_keys, coref_blocks, exact_surface_clusters, agglomerative_coref, pairwise_coref, purity, nil_summary, chunk_entity_edges, surface_containment, entity_aliases, entity_upsert, typed_relation_counts, graph_hints, pair_candidates, typed_relations_normalized, edge_set_algebra, relation_side_weights, score_combination, mask_tuning, score_bands, span_dedup_best, span_match_strict, span_match_relaxed, span_mismatches, merged_span_length, masking_metrics, masked_chunks, document_chunks, token_windows, rule_extraction, query_terms, qrel_dedup, query_ids, qrel_validation, split_dev_test, stratified_sample, incremental_resume, late_documents, unique_violations)}
+QUERIES = {f.__name__: f for f in (text_normalize, word_windows, stable_ids, vector_point_ids, text_quality, public_candidates, candidate_summary, archive_skeleton_nodes, archive_skeleton_edges, graph_statistics, connected_mentions, transcript_turns, speaker_counts, ocr_lines, surface_block_keys, coref_blocks, exact_surface_clusters, agglomerative_coref, pairwise_coref, purity, nil_summary, chunk_entity_edges, surface_containment, entity_aliases, entity_upsert, typed_relation_counts, graph_hints, pair_candidates, typed_relations_normalized, edge_set_algebra, relation_side_weights, score_combination, mask_tuning, score_bands, span_dedup_best, span_match_strict, span_match_relaxed, span_mismatches, merged_span_length, masking_metrics, masked_chunks, span_repair, dataset_summary, label_support, assisted_gold_ids, quota_sample, relation_summary, context_windows, document_chunks, token_windows, rule_extraction, query_terms, qrel_dedup, query_ids, qrel_validation, split_dev_test, stratified_sample, incremental_resume, late_documents, unique_violations)}

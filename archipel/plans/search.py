@@ -86,6 +86,10 @@ def judge_ensemble(spark, d):
     return evaluation.ensemble(judged(spark, d))
 
 
+def ensemble_metrics(spark, d):
+    return evaluation.ensemble_metrics(judge_ensemble(spark, d), [1, 3])
+
+
 def latency_summary(spark, d):
     return evaluation.latency(table(spark, d, "events"), "event_type", F.col("value"))
 
@@ -151,10 +155,11 @@ SQL = {
     "retrieval_metrics": f"with {VALID}, src_rows as (select evaluation_strategy as s, query_id as q, rank, chunk_id, relevance_score, is_source_chunk from ok where judge_model = 'nadir-labs/plumb-13b'), " + METRICS.format(ks="(1), (3), (5)", name="evaluation_strategy"),
     "metrics_by_judge": f"with {VALID}, src_rows as (select concat_ws(' / ', judge_model, evaluation_strategy) as s, concat_ws(' ', judge_model, query_id) as q, rank, chunk_id, relevance_score, is_source_chunk from ok), " + METRICS.format(ks="(3)", name="judge_and_strategy"),
     "judge_ensemble": f"with {VALID} select query_id, chunk_id, rank, evaluation_strategy, round(avg(relevance_score), 6) as mean_score, round(avg((relevance_score >= 2)::int), 6) as vote_rate, round(coalesce(stddev_samp(relevance_score), 0), 6) as score_std, count(distinct judge_model) as n_judges, string_agg(distinct judge_model, ',' order by judge_model) as judges from ok group by all",
+    "ensemble_metrics": f"with {VALID}, e as (select query_id, chunk_id, rank, evaluation_strategy, round(avg(relevance_score), 6) as m, round(avg((relevance_score >= 2)::int), 6) as v, round(coalesce(stddev_samp(relevance_score), 0), 6) as s from ok group by all), p as (select evaluation_strategy, k, query_id, avg(m) as m, avg((v >= 0.5)::int) as v, avg(s) as s from e, (values (1), (3)) t(k) where rank <= k group by all) select evaluation_strategy, k, count(*) as queries, round(avg(m), 5) as mean_score, round(avg(v), 5) as majority_rate, round(avg(s), 5) as mean_std from p group by all",
     "latency_summary": "select event_type, count(*) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.95), 6) as p95, round(sum(value), 4) as total from events group by 1",
     "threshold_sweep": f"with {SWEEP} select * from sw",
     "best_threshold": f"with {SWEEP} select * from sw qualify row_number() over (partition by grp order by (precision >= 0.5)::int desc, f1 desc, precision desc, recall desc, threshold) = 1",
     "judge_pending": "select distinct query_id, chunk_id, evaluation_strategy from dense_judgments j where not exists (select 1 from dense_judgments c where c.judgment_status = 'completed' and c.query_id = j.query_id and c.chunk_id = j.chunk_id and c.evaluation_strategy = j.evaluation_strategy)",
 }
 
-QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_filtered, sparse_topk, hybrid_rrf, multi_variant_rrf, chunk_graph_features, graph_rerank, retrieval_metrics, metrics_by_judge, judge_ensemble, latency_summary, threshold_sweep, best_threshold, judge_pending)}
+QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_filtered, sparse_topk, hybrid_rrf, multi_variant_rrf, chunk_graph_features, graph_rerank, retrieval_metrics, metrics_by_judge, judge_ensemble, ensemble_metrics, latency_summary, threshold_sweep, best_threshold, judge_pending)}
