@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archipel.llm.automata import Trie
-from archipel.session import checkpoint, spread
+from archipel.llm.words import token_counts
+from archipel.session import checkpoint, slots, spread
 
 SHARE, RATIO, EDITS = 1e-6, 20, 2
 
@@ -325,9 +326,8 @@ def odd_signs(w: str) -> bool:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n, small) over all texts, on the JVM side and map-side combined: plain words, edges trimmed, and how often
-    they are written in small letters."""
-    tokens = texts.select(F.explode(F.split(F.translate("raw_text", "\n\t\r", "   "), " ")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    """(word, n, small) over all texts: plain words, edges trimmed, and how often they are written in small letters."""
+    tokens = token_counts(texts).withColumnRenamed("token", "t")
     word = F.regexp_replace(F.regexp_replace(F.lower("t"), r"^[\"'“”‘’«»(\[{<*_~.,;:?-]+|[\"'“”‘’«»)\]}>*_~.,;:?-]+$", ""), "’", "'")
     small = F.when(F.col("t") == F.lower("t"), F.col("n")).otherwise(0).alias("small")
     return tokens.select(F.regexp_replace(word, "'s$", "").alias("word"), "n", small).where("length(word) between 3 and 40").groupBy("word").agg(F.sum("n").alias("n"), F.sum("small").alias("small"))
@@ -419,7 +419,7 @@ def prepare(chunks: DataFrame) -> tuple:
     seen = checkpoint(scans.mapInPandas(pairs, "chunk_id string, prev string, word string, n bigint"))
     own = seen.where("chunk_id is not null")
     rare = own.groupBy("word").agg(F.sum("n").alias("in_scans")).join(counts, "word", "left").select("word", F.greatest("in_scans", F.coalesce("n", F.lit(0))).alias("n"))
-    found = checkpoint(readings(spread(rare, "word"), vocabulary, numbers))
+    found = checkpoint(readings(rare.repartition(slots(spark) * 4), vocabulary, numbers))
     # several readings: the one that most often follows the word before
     options = found.select("reading").distinct()
     follows = seen.where("chunk_id is null").join(options, seen.word == options.reading, "left_semi").groupBy("prev", F.col("word").alias("reading")).agg(F.sum("n").alias("after"))
