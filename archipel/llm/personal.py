@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archipel.llm.words import MARK, token_counts
 from archipel.session import checkpoint, spread
 
 LABELS = ("O", "PERSON_NAME", "EMAIL", "PHONE", "ID_NUMBER", "STREET_ADDRESS")
@@ -42,7 +43,6 @@ PHONE_RIGHT = re.compile(r"^\W*(?:as the contact|day or night|any time|with the
 ID_LEFT = re.compile(r"(?:\bssn|social security(?: number| no)?|passport(?: no| number)?|licen[sc]e(?: no| number)?|insurance number|taxpayer (?:number|id)|tax (?:id|number)|resident card|identity card|id card|national id|national identity number|nin|nino|personal number|id(?: no| number)?|card)\W{0,4}$", re.I)
 OTHER_LEFT = re.compile(r"(?:invoice|part number|order|ref|reference|catalog(?:ue)? item|item|lot|batch|docket|form|tracking number|case|flight|room|page|no\.? of|serial|account|bill|model|version|rev|channel|score was|between|and|opened in|segment|vol)\W{0,5}(?:no\W*|number\W*)?$", re.I)
 
-MARK = re.compile(r"OCR Line \d+ \[[^\]\n]*\]: ?")
 STAMP = re.compile(r"^(?:Segment \d+ )?\[[\d.s:]+-[\d.s:]+\]: ?", re.M)
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 EMAIL = re.compile(
@@ -480,17 +480,14 @@ def train(sample: pd.DataFrame, words: Words) -> dict[str, np.ndarray]:
 
 
 def corpus_words(rows: DataFrame, names: set[str]) -> Words:
-    """Counts of all words by their writing, taken on the JVM side; only words that make up at least one in a million
-    are kept, so the sets have at most a million members."""
-    view = F.regexp_replace("raw_text", MARK.pattern, " ")
-    trimmed = F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "")
-    tokens = rows.select(F.explode(F.split(F.translate(view, "\n\t\r", "   "), " ")).alias("w")).select(trimmed.alias("w")).where(F.col("w").rlike(r"^\p{L}+(?:['’-]\p{L}+)*$")).groupBy("w").agg(F.count("*").alias("n"))
-    small = F.col("w") == F.lower("w")
+    """Counts of all words by their writing; only words that make up at least one in a million are kept, so the sets
+    have at most a million members."""
+    place_after = r"\b(?:in|near|from|to|at|around) ([A-Z][a-zà-ÿ]+)(?= |[.,;:?!]|$)(?! [A-Z])"
+    tokens = token_counts(rows, pattern=place_after)
+    trimmed = tokens.select(F.regexp_replace("token", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("w"), "n", "m").where(F.col("w").rlike(r"^\p{L}+(?:['’-]\p{L}+)*$"))
     low = F.regexp_replace(F.regexp_replace(F.lower("w"), "’", "'"), "'s$", "")
-    by = tokens.groupBy(low.alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(small, F.col("n")).otherwise(0)).alias("small"))
-    prepositions = r"(?:^|[^\p{L}])(?:in|near|from|to|at|around) (\p{Lu}\p{Ll}+)(?= |[.,;:?!]|$)(?! \p{Lu})"
-    places = rows.select(F.explode(F.regexp_extract_all(view, F.lit(prepositions), 1)).alias("p")).groupBy(F.lower("p").alias("word")).agg(F.count("*").alias("p"))
-    counted = checkpoint(by.join(places, "word", "left"))
+    small = F.when(F.col("w") == F.lower("w"), F.col("n")).otherwise(0)
+    counted = checkpoint(trimmed.groupBy(low.alias("word")).agg(F.sum("n").alias("n"), F.sum(small).alias("small"), F.sum("m").alias("p")))
     total = counted.agg(F.sum("n")).head()[0] or 0
     kept = counted.where(F.col("n") >= max(2.0, SHARE * total)).collect()
     ordinary = {r["word"] for r in kept if r["small"] >= 0.4 * r["n"] and r["small"] >= 3}
@@ -512,7 +509,9 @@ def detect(chunks: DataFrame) -> DataFrame:
     total = named.agg(F.sum("n")).head()[0] or 0
     names = {r["w"] for r in named.where(F.col("n") >= max(2.0, 1e-5 * total)).collect()} - PARTICLES  # at most 100,000
     words = corpus_words(texts.where("raw_text is not null"), names)
-    labelled = texts.where("raw_text is not null and size(sensitive_entities) > 0").orderBy(F.xxhash64("chunk_id")).limit(TRAIN_CHUNKS).toPandas()
+    labelled = texts.where("raw_text is not null and size(sensitive_entities) > 0").withColumn("_d", F.xxhash64("chunk_id") / F.lit(2.0**64) + 0.5)
+    share = min(1.0, 2.0 * TRAIN_CHUNKS / max(1, labelled.count()))  # so tasks send few more rows than are wanted
+    labelled = labelled.where(F.col("_d") <= share).orderBy("_d", "chunk_id").limit(TRAIN_CHUNKS).drop("_d").toPandas()
     weights = train(labelled, words)
     shared = spark.sparkContext.broadcast((weights, words))
 
