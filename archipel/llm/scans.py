@@ -1,7 +1,9 @@
 """Problem 4: noise in text from scanned pages.
 
 Words are counted over all chunks; those that make up at least one word in a million are the vocabulary (so it has at
-most a million words, whatever the corpus). Every other word of a scan is a suspect. Its Levenshtein automaton, built
+most a million words, whatever the corpus), without those that are misreadings themselves: however often a word occurs,
+it is one if it is hardly found outside scans and confusions explain it by a far more frequent word. Every other word of
+a scan is a suspect. Its Levenshtein automaton, built
 state by state as it is used, is intersected with the vocabulary's trie, a depth-first walk over ranges of the sorted
 word list, which gives all vocabulary words within two edits. Those that a scanner's confusions explain, and that are
 far more frequent than the suspect, are its readings; several readings are ranked by how often each follows the word
@@ -357,9 +359,23 @@ def readings(suspects: DataFrame, vocabulary: list[str], counts: list[int]) -> D
     return suspects.mapInPandas(run, "word string, reading string, steps int, weight bigint")
 
 
+def is_scan() -> F.Column:
+    return F.coalesce(F.regexp_replace(F.lower(F.col("dataset")), r"[^a-z]", "") == "docvqa", F.lit(False))
+
+
+def misreadings(counts: DataFrame, vocabulary: list[str], numbers: list[int], least: float) -> set[str]:
+    """Vocabulary words (at most as many as it has) that are misreadings: ``RATIO`` times rarer outside scans than in
+    them, and with a reading in the vocabulary. Only shares are compared, so the size of the corpus does not matter."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("inside"), F.lit(0)).alias("inside")).head()
+    own, other = F.col("inside") / max(total["inside"], 1), (F.col("n") - F.col("inside")) / max(total["n"] - total["inside"], 1)
+    doubtful = counts.where((F.col("n") >= least) & (F.col("inside") > 0) & (own >= RATIO * other)).where(~F.col("word").rlike(r"[\d_@!|$]")).select("word", "n")
+    found = readings(doubtful.repartition(slots(counts.sparkSession) * 4), vocabulary, numbers)
+    return {r["word"] for r in found.select("word").distinct().collect()}
+
+
 def scanned(chunks: DataFrame) -> DataFrame:
     """Pages of the scan dataset, whatever their modality says; a chunk_id once, with its first text."""
-    rows = chunks.where("chunk_id is not null and raw_text is not null").where(F.regexp_replace(F.lower(F.col("dataset")), r"[^a-z]", "") == "docvqa")
+    rows = chunks.where("chunk_id is not null and raw_text is not null").where(is_scan())
     return rows.groupBy("chunk_id").agg(F.min(F.struct("document_id", "raw_text")).alias("x")).select("chunk_id", "x.*")
 
 
@@ -368,11 +384,15 @@ def prepare(chunks: DataFrame) -> tuple:
     word before it: (prev, word, reading)."""
     spark = chunks.sparkSession
     scans = checkpoint(scanned(chunks))
-    counts = checkpoint(word_counts(chunks.select("raw_text").where("raw_text is not null")))  # over all rows as they stand
+    texts = chunks.where("raw_text is not null")  # all rows as they stand
+    counted = word_counts(texts.where(is_scan())).withColumn("inside", F.col("n")).union(word_counts(texts.where(~is_scan())).withColumn("inside", F.lit(0)))
+    counts = checkpoint(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("small").alias("small"), F.sum("inside").alias("inside")))
     total = counts.agg(F.sum("n")).head()[0] or 0
     least = max(float(RATIO), SHARE * total)
     frequent = counts.where(F.col("n") >= least).orderBy("word").collect()  # at most 1 / SHARE words
     ordered = sorted((r["word"], r["n"]) for r in frequent if PLAIN.match(r["word"]))
+    wrong = misreadings(counts, [w for w, _ in ordered], [n for _, n in ordered], least)
+    ordered = [x for x in ordered if x[0] not in wrong]
     vocabulary, numbers = [w for w, _ in ordered], [n for _, n in ordered]
     proper = {r["word"] for r in frequent if r["small"] < 0.4 * r["n"]}
 

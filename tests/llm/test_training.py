@@ -165,6 +165,16 @@ def test_scans(spark):
     assert scans.worked(frame(spark, CHUNK)).count() == 0
 
 
+def test_scans_of_any_size(spark):
+    good = "The committee thanked the laboratory. " * 30
+    rows = [("p", "d", "docvqa", "Then the commiftee thanked the laboratory and had a bead there."), ("q", "d", "cnn", good + "He had a bead. "), *((f"g{i}", "d", "docvqa", good) for i in range(3))]
+    found = []
+    for times in (1, 30):  # the misreading itself becomes as frequent as a word
+        work = scans.worked(frame(spark, CHUNK, *((f"{c}-{k}", *r) for k in range(times) for c, *r in rows)))
+        found.append({(r["start_char"], r["noise_type"], r["reading"]) for r in scans.noise_rows(work).where("chunk_id like 'p-%'").collect()})
+    assert found[0] == found[1] and (rows[0][3].index("commiftee"), "char", "committee") in found[1]
+
+
 # problem 5
 def test_names(spark):
     e = spark.createDataFrame([("1", "Robert Stravithusterby", "PERSON"), ("2", "Margaret H. Dorithoppel", "PERSON"), ("3", "Naskaillard Broadcasting Network", "ORG"), ("4", "Technical University of Brinaromar", "ORG"), ("5", None, "ORG"), ("6", "Halvarick Broadcasting Network", "ORG"), ("7", "Technical University of Kreloban", "ORG")], "entity_id string, canonical_name string, entity_type string")
