@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archipel.functions.text import f1, ratio
+from archipel.session import spread
 
 # Relation, family, head types, tail types.
 SCHEMA = """
@@ -47,24 +53,92 @@ def type_code(c) -> F.Column:
     return F.when(F.upper(c).startswith("PER"), "PER").when(F.upper(c).startswith("ORG"), "ORG").otherwise(F.upper(c))
 
 
+class Nearest:
+    """The ``k`` nearest allowed pairs of one chunk, whose mentions come by (start, entity_id, end).
+
+    Every mention meets the earlier ones of each kind it may be paired with: of those that reach it (gap 0) the ``k``
+    with the smallest starts, of those that end before it the ``k`` that end last, entities other than its own in both
+    cases. No other pair can be among the nearest ``k``, whatever lies in between.
+    """
+
+    def __init__(self, allowed: set[tuple[str, str]], k: int, gap: int) -> None:
+        self.allowed, self.k, self.gap = allowed, k, gap
+        self.best: list[tuple] = []  # (gap, head start, tail start, head, tail)
+        self.reach: dict[str, list[tuple]] = {}  # kind -> (start, entity, end) by start, with some that ended already
+        self.ends: dict[str, list[tuple]] = {}  # kind -> heap of (end, start, entity) of those that did not
+        self.past: dict[str, list[tuple]] = {}  # kind -> (-end, start, entity), at most k of an entity and 2k in all
+
+    def offer(self, gap: float, a: tuple, b: tuple) -> None:
+        """``a`` and ``b``: (kind, start, entity)."""
+        for h, t in ((a, b), (b, a)):
+            pair = (gap, h[1], t[1], h[2], t[2])
+            if (h[0], t[0]) in self.allowed and (len(self.best) < self.k or pair < self.best[-1]):
+                insort(self.best, pair)
+                del self.best[self.k :]
+
+    def expire(self, kind: str, start: float) -> None:
+        ends, past = self.ends[kind], self.past[kind]
+        while ends and ends[0][0] < start:
+            end, s, entity = heappop(ends)
+            insort(past, (-end, s, entity))
+            same = [i for i, x in enumerate(past) if x[2] == entity]
+            if len(same) > self.k:
+                del past[same[-1]]
+            del past[2 * self.k :]
+        if len(self.reach[kind]) > 2 * len(ends) + 16:
+            self.reach[kind] = [x for x in self.reach[kind] if x[2] >= start]
+
+    def add(self, kind: str, start: float, entity: str, end: float) -> None:
+        own = (kind, start, entity)
+        for other in self.reach:
+            if (other, kind) not in self.allowed and (kind, other) not in self.allowed:
+                continue
+            self.expire(other, start)
+            met = 0
+            for s, e, until in self.reach[other]:
+                if met == self.k or len(self.best) == self.k and self.best[-1] < (0, s):
+                    break
+                if until >= start and e != entity:
+                    self.offer(0, (other, s, e), own)
+                    met += 1
+            for minus, s, e in self.past[other]:
+                if start + minus > self.gap:
+                    break
+                if e != entity:
+                    self.offer(start + minus, (other, s, e), own)
+        if kind not in self.reach:
+            self.reach[kind], self.ends[kind], self.past[kind] = [], [], []
+        self.reach[kind].append((start, entity, end))
+        heappush(self.ends[kind], (end, start, entity))
+
+
 def pair_candidates(mentions: DataFrame, schema: DataFrame, per_chunk: int = 8, gap: int = 2000) -> DataFrame:
     """Ordered pairs of entities of one chunk with an allowed pair of types, the nearest ``per_chunk`` per chunk.
 
-    Only the nearest ones are wanted, so each mention is paired with its ``per_chunk`` followers in reading order and with
-    no others: the nearest pairs are among them, and a crowded chunk stays linear.
+    A sweep over each chunk's mentions in reading order, as they stream by, so a crowded chunk is neither joined with
+    itself nor held in memory. An unknown start lies before all others and an unknown end after; a span that ends before
+    it starts is empty.
     """
-    w = Window.partitionBy("chunk_id").orderBy("start_char", "end_char", "entity_id")
-    follow = F.collect_list(F.struct("entity_id", "kind", "start_char", "end_char")).over(w.rowsBetween(1, per_chunk))
-    rows = mentions.select("chunk_id", "entity_id", "kind", "start_char", "end_char").distinct().withColumn("follow", follow)
-    flat = rows.select("chunk_id", F.struct("entity_id", "kind", "start_char", "end_char").alias("a"), F.explode("follow").alias("b"))
-    both = flat.select("chunk_id", F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("t")), F.struct(F.col("b").alias("h"), F.col("a").alias("t")))).alias("p")).select("chunk_id", "p.*")
-    both = both.where("h.entity_id <> t.entity_id")
-    distance = F.greatest(F.lit(0), F.greatest(F.col("h.start_char"), F.col("t.start_char")) - F.least(F.col("h.end_char"), F.col("t.end_char")))
-    typed = both.withColumn("gap", distance).where(F.col("gap") <= gap)
-    allowed = F.broadcast(schema.select("head_type", "tail_type").distinct())
-    typed = typed.join(allowed, (F.col("h.kind") == F.col("head_type")) & (F.col("t.kind") == F.col("tail_type")))
-    near = Window.partitionBy("chunk_id").orderBy("gap", "h.start_char", "t.start_char", "h.entity_id", "t.entity_id")
-    return typed.withColumn("r", F.row_number().over(near)).where(F.col("r") <= per_chunk).select("chunk_id", F.col("h.entity_id").alias("head"), F.col("t.entity_id").alias("tail"), "gap", F.col("r").alias("rank"))
+    allowed = {(r["head_type"], r["tail_type"]) for r in schema.select("head_type", "tail_type").distinct().collect()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, near = None, Nearest(allowed, per_chunk, gap)
+        rows = lambda: [(chunk, p[3], p[4], int(p[0]), r) for r, p in enumerate(near.best, 1)]
+        for batch in batches:
+            out = []
+            for c, kind, start, entity, end in batch.itertuples(index=False):
+                if c != chunk:
+                    out += rows()
+                    chunk, near = c, Nearest(allowed, per_chunk, gap)
+                near.add(kind, start, entity, end)
+            yield pd.DataFrame(out, columns=["chunk_id", "head", "tail", "gap", "rank"])
+        yield pd.DataFrame(rows(), columns=["chunk_id", "head", "tail", "gap", "rank"])
+
+    start = F.coalesce(F.col("start_char").cast("double"), F.lit(float("-inf")))
+    end = F.greatest(start, F.coalesce(F.col("end_char").cast("double"), F.lit(float("inf"))))
+    kinds = sorted({x for pair in allowed for x in pair})
+    spans = mentions.where(F.col("entity_id").isNotNull() & F.col("chunk_id").isNotNull() & F.col("kind").isin(kinds)).select("chunk_id", "kind", start.alias("start"), "entity_id", end.alias("end")).distinct()
+    return spread(spans, "chunk_id").sortWithinPartitions("chunk_id", "start", "entity_id", "end").mapInPandas(run, "chunk_id string, head string, tail string, gap bigint, rank int")
 
 
 def normalized(predictions: DataFrame, schema: DataFrame, threshold: float = 0.15) -> DataFrame:
