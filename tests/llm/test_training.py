@@ -267,6 +267,19 @@ def test_neighbours_recall_ties_and_copies(spark):
     assert neighbours.neighbour_pairs(near).where("chunk_id_a >= chunk_id_b").count() == 0
 
 
+def test_neighbours_recall_does_not_fall_with_projections(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "projections", lambda n: 18)  # as for two million vectors
+    rng = np.random.default_rng(4)
+    v = (rng.standard_normal((40, 64))[rng.integers(40, size=1500)] + 0.7 * rng.standard_normal((1500, 64))).astype(np.float32)
+    df = spark.createDataFrame([(f"c{i:04d}", [float(x) for x in v[i]]) for i in range(1500)], "chunk_id string, dense array<float>")
+    got = {(r["id"], r["neighbour"]) for r in neighbours.nearest(df).collect()}
+    u = v / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(f"c{i:04d}", f"c{j:04d}") for i, row in enumerate(np.argsort(-s, 1)[:, :10]) for j in row}
+    assert len(got & want) / len(want) >= 0.93
+
+
 def test_neighbours_edges(spark):
     schema = "chunk_id string, dense array<float>"
     assert neighbours.nearest(spark.createDataFrame([], schema)).count() == 0
