@@ -8,7 +8,10 @@ best. Fitness is the mean squared fill. Between epochs the best packing of every
 island whose best packing needs no more bins than the sum of sizes demands is done.
 
 Shards leave a few poorly filled bins each. Those are dissolved and their items form the next, smaller round of
-shards, until one shard holds what is left; the rounds are as many as the logarithm of the number of shards.
+shards, until one shard holds what is left. Where items can't fill bins well, as when all are just over half the
+capacity, a round leaves nearly as many items as it got: a kind of container whose round places fewer than one item in
+``LEAST_GAIN`` in good bins keeps that round's bins as they are. So the rounds are as many as the logarithm of the
+number of shards, always.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from archipel.llm.tokens import VOCABULARY, token_count
 from archipel.session import checkpoint, slots, spread
 
 SHARD_ITEMS, ISLANDS, POPULATION, EPOCHS, OFFSPRING, GOOD_FILL, MAX_KINDS, SEED = 2048, 2, 4, 2, 24, 0.98, 1000, 5
+LEAST_GAIN = 10
 
 
 def best_fit(order: np.ndarray, sizes: list[int], capacity: int, bins: list[list[int]], room: list[int]) -> None:
@@ -177,6 +181,10 @@ def pack(documents: DataFrame, budgets: DataFrame, vocabulary: str = VOCABULARY,
             break
         fill = F.sum("n_tokens").over(Window.partitionBy("container_id")) / F.col("capacity")
         bins = checkpoint(bins.withColumn("good", fill >= GOOD_FILL))
+        gain = bins.groupBy("container").agg(F.count_if("good").alias("placed"), F.count("*").alias("n"))
+        stuck = [r["container"] for r in gain.where(F.col("placed") * LEAST_GAIN < F.col("n")).collect()]  # kinds of container
+        if stuck:
+            bins = bins.withColumn("good", F.col("good") | F.col("container").isin(stuck))
         parts.append(bins.where("good").drop("good"))
         left, level = bins.where("not good").drop("good", "container_id"), level + 1
     out = parts[0].select("container", "capacity", "container_id", "doc_id", "part", "n_tokens")

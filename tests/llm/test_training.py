@@ -325,6 +325,14 @@ def test_packing_edges(spark):
     assert packing.pack(frame(spark, DOC, (1, "word")), budgets(spark).limit(0)).count() == 0
 
 
+def test_packing_ends_where_nothing_fits_together(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("word " * 30).alias("text"))
+    n = docs.limit(1).select(tokens.token_count("text").alias("n")).head()["n"]
+    kinds = spark.createDataFrame([("s", n * 10 // 6), ("m", n * 10)], "container string, capacity_tokens int")
+    p = packing.pack(docs, kinds, epochs=1, offspring=1)
+    assert {tuple(r) for r in p.groupBy("container").agg(F.count("*"), F.count_distinct("doc_id"), F.count_distinct("container_id")).collect()} == {("s", 5000, 5000, 5000), ("m", 5000, 5000, 500)}
+
+
 def test_genetic_steps_keep_items():
     rng = np.random.default_rng(7)
     sizes = rng.integers(1, 60, 200)
