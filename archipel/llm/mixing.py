@@ -23,6 +23,7 @@ from archipel.session import checkpoint, slots, spread
 
 BLOCK, SHARD_TOKENS, SEED, POOL, RANGE = 4096, 1 << 20, 11, 192, 4096
 MAX_SOURCES = 10_000
+KNOWN_DEPTH = 10  # of the splitting tree's nodes a task remembers
 
 
 def source_key(column) -> F.Column:
@@ -113,20 +114,48 @@ def draws(rows: DataFrame, quotas: pd.DataFrame, seed: int) -> DataFrame:
     return whole.union(part.select("source", "doc_id", "n_tokens", F.col("full").alias("pass")))
 
 
-def leaf(shard: int, shards: int, blocks: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The range of blocks of every source that falls to ``shard``: the path from the root of the splitting tree."""
-    lo, hi, first, last = np.zeros_like(blocks), blocks.copy(), 0, shards
+def hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """How many of ``take`` draws without replacement from ``good + bad`` are good, by inversion over all outcomes within
+    twelve deviations of the mode (what lies beyond has no weight in double precision). The same for every size: time
+    and memory grow with the deviation, that is with the square root of the population."""
+    low, high, n = max(0, take - bad), min(good, take), good + bad
+    if low == high:
+        return low
+    mode = min(max((take + 1) * (good + 1) // (n + 2), low), high)
+    reach = 12 + int(12 * np.sqrt(float(take) * good / n * bad / n * (n - take) / max(n - 1, 1)))
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)
+    steps = np.log(good - k) + np.log(take - k) - np.log(k + 1) - np.log(bad - take + k + 1)  # weight of k + 1 over that of k
+    weight = np.concatenate([[0.0], np.cumsum(steps)])
+    total = np.cumsum(np.exp(weight - weight.max()))
+    return first + int(np.searchsorted(total, rng.random() * total[-1], side="right").clip(0, last - first))
+
+
+def split(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """A multivariate draw without replacement: ``take`` of all blocks, source after source, each given those before."""
+    out, rest, left = np.zeros_like(counts), int(counts.sum()), take
+    for i, c in enumerate(counts.tolist()):
+        out[i] = hypergeometric(c, rest - c, left, rng)
+        rest, left = rest - c, left - int(out[i])
+    return out
+
+
+def leaf(shard: int, shards: int, blocks: np.ndarray, seed: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The range of blocks of every source that falls to ``shard``: the path from the root of the splitting tree.
+    ``known`` keeps nodes that leaves of one task share, down to a depth that bounds it."""
+    lo, hi, first, last, depth = np.zeros_like(blocks), blocks.copy(), 0, shards, 0
     while last - first > 1:
         middle = (first + last) // 2
-        n = int((hi - lo).sum())
-        take = n * (middle - first) // (last - first)
-        rng = np.random.default_rng([seed, first, last])
-        big = n >= 10**9  # beyond the exact method's range
-        left = rng.multivariate_hypergeometric(hi - lo, take, method="count" if not big and n < 10**6 else "marginals")
+        left = known.get((first, last)) if known is not None else None
+        if left is None:
+            left = split(hi - lo, int((hi - lo).sum()) * (middle - first) // (last - first), np.random.default_rng([seed, first, last]))
+            if known is not None and depth < KNOWN_DEPTH:
+                known[first, last] = left
         if shard < middle:
             hi, last = lo + left, middle
         else:
             lo, first = lo + left, middle
+        depth += 1
     return lo, hi
 
 
@@ -156,10 +185,11 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = SEED, vocabulary:
     shards = max(1, -(-int(quotas["quota"].sum()) // shard_tokens))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for batch in batches:
             out = []
             for shard in batch["id"]:
-                lo, hi = leaf(int(shard), shards, counts, seed)
+                lo, hi = leaf(int(shard), shards, counts, seed, known)
                 out += [(int(shard), name, int(a), int(b)) for name, a, b in zip(names, lo, hi) if b > a]
             yield pd.DataFrame(out, columns=["shard", "source", "lo", "hi"])
 
