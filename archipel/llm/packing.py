@@ -3,8 +3,8 @@
 A text longer than the capacity fills whole containers of its own; its rest is an item like any other. Items are dealt
 to shards of about ``SHARD_ITEMS`` by a hash of their id, so every shard has the mixture of all. On every island of a
 shard a population of packings evolves: crossover injects a run of the other parent's well-filled bins whole, the
-receiving parent's bins that share an item with them are dissolved, and the displaced items go to the bin they fill
-best. Fitness is the mean squared fill. Between epochs the best packing of every island migrates to the next one. An
+receiving parent's bins that share an item with them are dissolved, the displaced items take the place of smaller ones
+where a bin is filled better by them, and what is then left goes to the bin it fills best. Fitness is the mean squared fill. Between epochs the best packing of every island migrates to the next one. An
 island whose best packing needs no more bins than the sum of sizes demands is done.
 
 Shards leave a few poorly filled bins each. Those are dissolved and their items form the next, smaller round of
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from archipel.llm.tokens import VOCABULARY, token_count
 from archipel.session import checkpoint, slots, spread
 
-SHARD_ITEMS, ISLANDS, POPULATION, EPOCHS, OFFSPRING, GOOD_FILL, MAX_KINDS, SEED = 2048, 2, 4, 2, 24, 0.98, 1000, 5
+SHARD_ITEMS, ISLANDS, POPULATION, EPOCHS, OFFSPRING, GOOD_FILL, MAX_KINDS, SEED = 2048, 2, 4, 2, 48, 0.98, 1000, 5
 LEAST_GAIN = 10
 
 
@@ -48,6 +48,46 @@ def best_fit(order: np.ndarray, sizes: list[int], capacity: int, bins: list[list
             insort(free, (r - s, b))
 
 
+def exchange(loose: list[int], sizes: list[int], capacity: int, bins: list[list[int]], room: list[int]) -> list[int]:
+    """Fills bins with room better: one or two of a bin's items give way to one or two loose ones that together take
+    more of the room. Bins change in place; returns the items that are loose afterwards, which are smaller and so easier
+    to place."""
+    pool = sorted((sizes[i], i) for i in loose)
+
+    def largest(limit: int, above: int, skip: int = -1) -> int:
+        """Index in the pool of the largest item over ``above`` and within ``limit``, -1 if there is none."""
+        at = bisect_left(pool, (limit + 1, -1)) - 1
+        at -= at == skip
+        return at if at >= 0 and pool[at][0] > above else -1
+
+    for b in sorted(range(len(bins)), key=lambda b: room[b]):
+        if not room[b] or not pool:
+            continue
+        items, best = bins[b], (0, (), ())
+        outs = [(i,) for i in items] + [(i, j) for k, i in enumerate(items) for j in items[k + 1 :]][: 4 * len(items)]
+        for out in outs:
+            gone = sum(sizes[i] for i in out)
+            limit = gone + room[b]
+            at = largest(limit, gone)
+            if at >= 0 and pool[at][0] - gone > best[0]:
+                best = (pool[at][0] - gone, out, (at,))
+            for first in range(0, bisect_left(pool, (limit, -1)), max(1, len(pool) // 16)):  # and a second one beside it
+                second = largest(limit - pool[first][0], gone - pool[first][0], first)
+                if second >= 0 and second != first and pool[first][0] + pool[second][0] - gone > best[0]:
+                    best = (pool[first][0] + pool[second][0] - gone, out, (first, second))
+            if best[0] == room[b]:
+                break
+        if best[0]:
+            taken = [pool[k] for k in best[2]]
+            bins[b] = [i for i in items if i not in best[1]] + [i for _, i in taken]
+            room[b] -= best[0]
+            for x in taken:
+                pool.remove(x)
+            for i in best[1]:
+                insort(pool, (sizes[i], i))
+    return [i for _, i in pool]
+
+
 def labels_of(bins: list[list[int]], n: int) -> np.ndarray:
     out = np.empty(n, np.int32)
     for b, items in enumerate(bins):
@@ -80,7 +120,7 @@ def crossover(receiver: np.ndarray, giver: np.ndarray, sizes: np.ndarray, listed
         if len(at):
             bins += [x.tolist() for x in np.split(at, np.flatnonzero(np.diff(labels[at])) + 1)]
     room = [capacity - sum(listed[i] for i in b) for b in bins]
-    displaced = np.flatnonzero(loose)
+    displaced = np.array(exchange(np.flatnonzero(loose).tolist(), listed, capacity, bins, room), int)
     best_fit(displaced[np.argsort(-sizes[displaced], kind="stable")], listed, capacity, bins, room)
     return labels_of(bins, len(sizes))
 

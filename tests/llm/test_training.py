@@ -333,6 +333,22 @@ def test_packing_ends_where_nothing_fits_together(spark):
     assert {tuple(r) for r in p.groupBy("container").agg(F.count("*"), F.count_distinct("doc_id"), F.count_distinct("container_id")).collect()} == {("s", 5000, 5000, 5000), ("m", 5000, 5000, 500)}
 
 
+def test_genetic_steps_beat_best_fit():
+    """Triples that fill a container exactly, which best fit decreasing misses."""
+    rng = np.random.default_rng(11)
+    sizes = []
+    for _ in range(40):
+        a, b = rng.integers(380, 490), rng.integers(250, 300)
+        sizes += [a, b, 1000 - a - b]
+    sizes = rng.permutation(np.array(sizes))
+    bins = []
+    packing.best_fit(np.argsort(-sizes, kind="stable"), sizes.tolist(), 1000, bins, [])
+    best = packing.evolve(sizes, 1000, [], np.random.default_rng(1), 400)[0]
+    assert np.bincount(best, sizes).max() <= 1000
+    print(len(bins), best.max() + 1)
+    assert best.max() + 1 < len(bins)
+
+
 def test_genetic_steps_keep_items():
     rng = np.random.default_rng(7)
     sizes = rng.integers(1, 60, 200)
@@ -370,6 +386,30 @@ def test_splitting_tree_is_exact():
         assert sum(b - a for a, b in spans) == blocks[k] and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_splitting_tree_beyond_a_billion_blocks():
+    blocks = np.array([3_000_000_000, 1_999_999_999, 7, 0])
+    known = {}
+    ranges = [mixing.leaf(s, 5, blocks, 3, known) for s in range(5)]
+    assert [tuple(map(tuple, r)) for r in ranges] == [tuple(map(tuple, mixing.leaf(s, 5, blocks, 3))) for s in range(5)]
+    for k in range(4):
+        spans = sorted((int(lo[k]), int(hi[k])) for lo, hi in ranges if hi[k] > lo[k])
+        assert sum(b - a for a, b in spans) == blocks[k] and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    sizes = [int((hi - lo).sum()) for lo, hi in ranges]
+    assert max(sizes) - min(sizes) <= 3
+    shares = [(hi - lo)[0] / (hi - lo).sum() for lo, hi in ranges]
+    assert all(abs(x - 0.6) < 1e-4 for x in shares)
+
+
+def test_hypergeometric_draws_have_the_right_distribution():
+    from math import comb
+
+    rng = np.random.default_rng(5)
+    for good, bad, take in ((5, 7, 4), (3, 40, 20), (30, 2, 9), (1, 1, 1), (0, 4, 2)):
+        got = np.bincount([mixing.hypergeometric(good, bad, take, rng) for _ in range(20_000)], minlength=take + 1) / 20_000
+        want = [comb(good, k) * comb(bad, take - k) / comb(good + bad, take) if take - k <= bad else 0 for k in range(take + 1)]
+        assert np.abs(got - want).max() < 0.015
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_closest_subset(seed):
     rng = random.Random(seed)
