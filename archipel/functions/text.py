@@ -104,17 +104,37 @@ def query_id(chunk: Column, query: Column) -> Column:
     return F.concat(F.lit("q_"), F.substring(F.sha1(F.concat_ws("|", chunk, query_form(query))), 1, 16))
 
 
-def surface_terms(c: Column, limit: int = 8) -> Column:
-    """Quoted strings, runs of capitalised words and acronyms, in order, each once whatever its case."""
-    found = F.concat(F.regexp_extract_all(c, F.lit('"([^"]+)"'), 1), F.regexp_extract_all(c, F.lit(r"[A-Z][a-zA-Z'-]+(?: [A-Z][a-zA-Z'-]+)*"), 0), F.regexp_extract_all(c, F.lit(r"\b[A-Z]{2,8}\b"), 0))
-    kept = F.filter(found, lambda x: ~F.lower(x).isin("what", "when", "which", "why", "how", "did", "who", "where", "the", "a", "an"))
-    once = F.aggregate(kept, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
+# Words that open a question and name nothing.
+QUERY_STOPWORDS = "A An And Are Did Do Does How In Of On Or The To What When Where Which Who Why".split()
+
+
+def compact(terms: Column, limit: int) -> Column:
+    """The first ``limit`` of an array's terms, blanks squeezed, each once whatever its case, in order."""
+    tidy = F.filter(F.transform(terms, lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))), lambda x: x != "")
+    low = F.transform(tidy, lambda x: F.lower(x))
+    once = F.filter(F.transform(tidy, lambda x, i: F.when(F.array_position(low, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
     return F.slice(once, 1, limit)
 
 
-def embedding_text(dataset: Column, modality: Column, title: Column, summary: Column, content: Column) -> Column:
+def surface_terms(c: Column, limit: int = 8) -> Column:
+    """Quoted strings, runs of capitalised words and acronyms, in this order, each once whatever its case."""
+    quoted = F.transform(F.regexp_extract_all(c, F.lit("\"([^\"]+)\"|'([^']+)'"), 0), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+    runs = F.regexp_extract_all(c, F.lit(r"\b[A-Z][A-Za-z0-9&.-]*(?:\s+[A-Z][A-Za-z0-9&.-]*)*"), 0)
+    found = F.concat(quoted, runs, F.regexp_extract_all(c, F.lit(r"\b[A-Z]{2,}\b"), 0))
+    return compact(F.filter(found, lambda x: ~F.trim(x).isin(QUERY_STOPWORDS)), limit)
+
+
+def embedding_text(dataset: Column, modality: Column, title: Column, summary: Column, content: Column, metadata: Column | None = None) -> Column:
+    """What is embedded: masked content below lines of context. Dataset, modality and content always have their line;
+    title, summary and metadata only where there is something to say. Metadata is a map; its null values and the raw and
+    masked texts are left out, and its JSON has Spark's spacing."""
     line = lambda label, c: F.when(c.isNotNull() & (F.trim(c) != ""), F.concat(F.lit(label + ": "), c))
-    return F.concat_ws("\n", line("Dataset", dataset), line("Modality", modality), line("Title", title), line("Summary", summary), line("Content", content))
+    always = lambda label, c: F.concat(F.lit(label + ": "), F.coalesce(c, F.lit("")))
+    lines = [always("Dataset", dataset), always("Modality", modality), line("Title", title), line("Summary", summary)]
+    if metadata is not None:
+        kept = F.map_filter(metadata, lambda k, v: v.isNotNull() & ~k.isin("raw_text", "masked_text"))
+        lines.append(F.when(F.size(kept) > 0, F.concat(F.lit("Metadata: "), F.to_json(kept))))
+    return F.concat_ws("\n", *lines, always("Content", content))
 
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -139,6 +159,152 @@ def token_offsets(c: Column) -> Column:
     return F.pandas_udf(run, "array<struct<token:string,start:int,end:int>>")(c)
 
 
+def token_span(offsets: Column, start: Column, end: Column) -> Column:
+    """Inclusive (first, last) indices of the tokens that a half-open character span touches, null if none. ``offsets``:
+    array of structs with start and end."""
+    hit = F.transform(offsets, lambda o, i: F.when((o["end"] > start) & (o["start"] < end), i))
+    first, last = F.array_min(hit), F.array_max(hit)  # both skip nulls
+    return F.when(first.isNotNull(), F.struct(first.alias("first"), last.alias("last")))
+
+
+def token_span_sorted(offsets: Column, start: Column, end: Column) -> Column:
+    """The same over sorted offsets, by counting the tokens that end before the span and those that begin before its end:
+    an empty span has none, and one between two tokens has none either."""
+    first = F.size(F.filter(offsets, lambda o: o["end"] <= start))
+    last = F.size(F.filter(offsets, lambda o: o["start"] < end)) - 1
+    ok = (end > start) & (first <= last) & (last < F.size(offsets))
+    return F.when(ok, F.struct(first.alias("first"), last.alias("last")))
+
+
+def token_gap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """Tokens between two inclusive token spans, 0 where they touch or overlap."""
+    return F.when(e1 < s2, s2 - e1 - 1).when(e2 < s1, s1 - e2 - 1).otherwise(F.lit(0))
+
+
+# Other names of mention labels, and what a masking label is called in words.
+LABEL_ALIASES = {"PRODUCT_OR_BRAND": "PRODUCT", "CREATIVE_WORK_TITLE": "CREATIVE_WORK", "LAW_OR_REGULATION": "LAW", "RELIGIOUS_GROUP": "RELIGION", "PROGRAM_OR_INITIATIVE": "PROGRAM_INITIATIVE"}
+SEMANTIC_LABELS = {"PERSON": "person", "ORG": "organization", "LOC": "location", "DATETIME": "date/time", "CODE": "code", "DEM": "demographic", "QUANTITY": "quantity", "MISC": "miscellaneous"}
+
+
+def lookup(values: dict[str, str], key: Column, otherwise: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.coalesce(table[key], otherwise)
+
+
+def entity_type_form(c: Column) -> Column:
+    """Upper case, blanks, hyphens and slashes as underscores; null is empty."""
+    return F.translate(F.upper(F.trim(F.coalesce(c, F.lit("")))), " -/", "___")
+
+
+def mention_label(c: Column) -> Column:
+    """A model's label as the archive writes it: ``Law or regulation`` is LAW."""
+    form = F.replace(entity_type_form(c), F.lit(","), F.lit(""))
+    return lookup(LABEL_ALIASES, form, form)
+
+
+def semantic_label(kind: Column) -> Column:
+    form = entity_type_form(kind)
+    return lookup(SEMANTIC_LABELS, form, F.translate(F.lower(form), "_", " "))
+
+
+def policy_label(kind: Column, identifier: Column, compact: bool = False) -> Column:
+    """Identifier class and entity type together: ``DIRECT_PERSON`` or, in words, ``direct person``."""
+    identifier = F.upper(F.trim(F.coalesce(identifier, F.lit(""))))
+    if compact:
+        return F.trim(F.concat_ws("_", identifier, entity_type_form(kind)), F.lit("_"))
+    return F.trim(F.concat_ws(" ", F.translate(F.lower(identifier), "_", " "), semantic_label(kind)))
+
+
+def policy_words(label: Column) -> Column:
+    return F.translate(F.lower(F.trim(F.coalesce(label, F.lit("")))), "_", " ")
+
+
+def policy_is_sensitive(label: Column) -> Column:
+    return policy_words(label).rlike("^(direct|quasi) ")
+
+
+def policy_type(label: Column) -> Column:
+    """The label without its policy prefix."""
+    return F.trim(F.regexp_replace(policy_words(label), "^(direct|quasi|no mask) ", ""))
+
+
+def is_sensitive_identifier(identifier: Column) -> Column:
+    return F.coalesce(F.upper(F.trim(identifier)).isin("DIRECT", "QUASI"), F.lit(False))
+
+
+def gold_slug(c: Column) -> Column:
+    slug = F.trim(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]+", "_"), F.lit("_"))
+    return F.when(slug == "", "UNSPECIFIED").otherwise(slug)
+
+
+def model_slug(c: Column) -> Column:
+    """A model name that can be a file name."""
+    slug = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[^a-zA-Z0-9._-]+", "__"), F.lit("._-"))
+    return F.when(slug == "", "judge").otherwise(slug)
+
+
+def masking_id(*parts: Column) -> Column:
+    return F.substring(F.sha1(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("None")) for p in parts))), 1, 16)
+
+
+def page_key(document: Column, page: Column, other: Column, *fallback: Column) -> Column:
+    """Key of a scanned page: document and page number, else another id, else one made of ``fallback``."""
+    d, n, o = (normalize_text(c.cast("string")) for c in (document, page, other))
+    return F.when((d != "") & (n != ""), F.concat(d, F.lit("::page-"), n)).when(o != "", F.concat(F.lit("doc-"), o)).otherwise(stable_id(*fallback))
+
+
+def as_bool(c: Column) -> Column:
+    """true/1/yes/y/t in any case, everything else but null is false."""
+    return F.lower(F.trim(c.cast("string"))).isin("true", "1", "yes", "y", "t")
+
+
+def as_int(c: Column) -> Column:
+    """An integer, also where it is written as 3.0; else null."""
+    return c.cast("string").try_cast("double").try_cast("bigint")
+
+
+def as_list(c: Column) -> Column:
+    """A JSON array of strings as an array; a blank or null cell is an empty one, any other text one element."""
+    text = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.coalesce(F.when(text.startswith("["), F.from_json(text, "array<string>")), F.array(text)))
+
+
+def first_present(columns: list[str], *names: str) -> Column:
+    """The first of several possible columns that the table has and that is not null."""
+    have = [F.col(n) for n in names if n in columns]
+    return F.coalesce(*have) if have else F.lit(None)
+
+
+def unmasked(c: Column) -> Column:
+    """The place where masking will stand: the text as it is."""
+    return c
+
+
+def whole_json(c: Column) -> Column:
+    """A JSON object: the whole text, else what lies between its first and last brace; null if neither parses."""
+    parsed = F.coalesce(F.try_parse_json(c), F.try_parse_json(F.regexp_extract(c, r"(?s)\{.*\}", 0)))
+    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+
+
 def first_json(c: Column) -> Column:
-    """The first JSON object in free text as a variant, null if there is none that parses."""
-    return F.try_parse_json(F.regexp_extract(c, r"(?s)\{.*\}", 0))
+    """The first JSON object in free text as its own JSON string, null if none parses: decoding starts at one brace after
+    the other, and what follows the object does not matter. No built-in decodes a prefix, so this is an Arrow function."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import json
+
+        decoder = json.JSONDecoder()
+
+        def first(text: str | None) -> str | None:
+            at = text.find("{") if text else -1
+            while at >= 0:
+                try:
+                    return json.dumps(decoder.raw_decode(text, at)[0], ensure_ascii=False)
+                except ValueError:
+                    at = text.find("{", at + 1)
+            return None
+
+        for texts in batches:
+            yield texts.map(first)
+
+    return F.pandas_udf(run, "string")(c)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archipel.functions.text import uuid5
+
 RULES = (("EMAIL", re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")), ("PHONE", re.compile(r"\+?\d[\d ().-]{7,}\d")), ("NAME", re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b")))
 
 
@@ -62,11 +64,47 @@ def extract_spans(rows: DataFrame, text: str, extractor: Callable = rule_spans)
     return rows.withColumn("_s", F.explode(found(F.col(text)))).select(*rows.columns, "_s.*")
 
 
+def term_weights(texts: pd.Series) -> list[list[dict]]:
+    """Sparse vectors: hashed words with the square root of their frequency, of unit length, in order of terms."""
+    out = []
+    for t in texts:
+        n: dict[int, int] = {}
+        for w in re.findall(r"\w+", (t or "").lower()):
+            h = zlib.crc32(w.encode()) & 0x7FFFFFFF
+            n[h] = n.get(h, 0) + 1
+        norm = sum(n.values()) ** 0.5
+        out.append([{"term": h, "weight": c**0.5 / norm} for h, c in sorted(n.items())])
+    return out
+
+
+def embed_sparse(rows: DataFrame, text: str, embedder: Callable = term_weights) -> DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(embedder(texts))
+
+    return rows.withColumn("sparse", F.pandas_udf(run, "array<struct<term:int,weight:double>>")(F.col(text)))
+
+
+def embedded_new(rows: DataFrame, have: DataFrame, text: str = "embedding_text", embedder: Callable = hashed_vectors, sparse: Callable = term_weights) -> DataFrame:
+    """(chunk_id, point_id, dense, sparse_indices, sparse_values) of the chunks that ``have`` no vector yet, ready to be
+    appended; repeated chunks are embedded once."""
+    fresh = rows.where("chunk_id is not null").groupBy("chunk_id").agg(F.min(text).alias("_text")).join(have.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    made = embed_sparse(embed(fresh, "_text", embedder), "_text", sparse)
+    return made.select("chunk_id", uuid5(F.concat(F.lit("archive-chunk:"), F.col("chunk_id"))).alias("point_id"), "dense", F.transform("sparse", lambda x: x["term"]).alias("sparse_indices"), F.transform("sparse", lambda x: x["weight"].cast("float")).alias("sparse_values"))
+
+
 def link(spans: DataFrame, surface: str, dictionary: DataFrame) -> DataFrame:
     """Dictionary linking on the normalised surface: (surface, entity_id); what is not found stays without an entity."""
     return spans.join(dictionary.groupBy("surface").agg(F.min("entity_id").alias("entity_id")), spans[surface] == dictionary["surface"], "left").drop(dictionary["surface"])
 
 
+def matched_back(mentions: DataFrame, linked: DataFrame, keys: tuple = ("chunk_id", "start_char", "end_char")) -> DataFrame:
+    """``mentions`` with what a linker said of the span at the same place (external_id, link_score); a mention the linker did
+    not return keeps none."""
+    said = linked.groupBy(*keys).agg(F.max_by(F.struct("external_id", "link_score"), F.struct(F.coalesce("link_score", F.lit(-1.0)), "external_id")).alias("l"))
+    return mentions.join(said, list(keys), "left").withColumn("external_id", F.col("l.external_id")).withColumn("link_score", F.col("l.link_score")).drop("l")
+
+
 def judge(rows: DataFrame, expected: str, text: str, judge_: Callable = overlap_judge) -> DataFrame:
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for e, t in batches:
@@ -75,6 +113,27 @@ def judge(rows: DataFrame, expected: str, text: str, judge_: Callable = overlap_
     return rows.withColumn("relevance_score", F.pandas_udf(run, "bigint")(F.col(expected), F.col(text)))
 
 
+LABELS = ["irrelevant", "related", "highly_relevant", "perfectly_relevant"]  # fixed values, by score
+
+
+def judgment(rows: DataFrame, expected: str, text: str, judge_: Callable = overlap_judge) -> DataFrame:
+    """``rows`` with a judge's whole answer: score, its label, and whether the expected information is there."""
+    score = F.col("relevance_score")
+    known = F.when(score.between(0, 3), score)
+    answer = F.struct(known.alias("relevance_score"), F.try_element_at(F.lit(LABELS), (known + 1).cast("int")).alias("relevance_label"), (known >= 2).alias("contains_expected_information"))
+    return judge(rows, expected, text, judge_).withColumn("judgment", answer).drop("relevance_score")
+
+
+def lead_query(texts: pd.Series) -> list[dict]:
+    """Built-in query generator: asks about the first sentence of a text, which is then what is expected."""
+    out = []
+    for t in texts:
+        first = re.split(r"(?<=[.!?])\s", (t or "").strip(), maxsplit=1)[0]
+        words = first.split()
+        out.append({"query": f"What is known about {' '.join(words[:8]).rstrip('.,;:!?')}?", "expected": first, "answer": first, "query_type": "factual", "difficulty": "easy" if len(words) < 20 else "medium", "rejected": len(words) < 5})
+    return out
+
+
 def cooccurrence_relations(pairs: DataFrame, label: str = "affiliated with", reach: int = 200) -> DataFrame:
     """Built-in relation model: a pair's score falls with its distance."""
     return pairs.withColumn("label", F.lit(label)).withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - F.col("gap") / reach), 6))

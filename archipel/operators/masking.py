@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archipel.functions.text import f1, ratio
-from archipel.operators.relations import combined
+from archipel.operators.evaluation import best_threshold
+from archipel.operators.relations import combined, side_weights
+from archipel.operators.spans import detection
 
 
 def mask_spans(texts: DataFrame, spans: DataFrame, key: str = "chunk_id", text: str = "raw_text") -> DataFrame:
@@ -61,3 +63,52 @@ def coordinate_search(rows: DataFrame, features: list[str], values: tuple = (0.0
     finally:
         rows.unpersist()
     return weights
+
+
+def type_priors(mentions: DataFrame) -> DataFrame:
+    """(mention_type, prior): mean gold target of a type's mentions."""
+    return mentions.where("gold_target is not null").groupBy("mention_type").agg(F.avg(F.col("gold_target").cast("double")).alias("prior"))
+
+
+def relation_scores(mentions: DataFrame, relations: DataFrame, weights: DataFrame, priors: DataFrame | None = None) -> DataFrame:
+    """``mentions`` (mention_id, mention_type) with ``relation_score``: the mean weight of the relation sides a mention stands
+    on, of those that have one; else the prior of its type; else 0.
+
+    relations: (relation, head_id, head_type, tail_id, tail_type); weights: (relation, side, entity_type, weight).
+    """
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("mention_id"), F.col(f"{s}_type").alias("entity_type"))
+    ends = relations.select("relation", F.explode(F.array(side("head"), side("tail"))).alias("e")).select("relation", "e.*")
+    known = ends.join(weights.select("relation", "side", "entity_type", "weight"), ["relation", "side", "entity_type"]).groupBy("mention_id").agg(F.avg("weight").alias("_w"))
+    out = mentions.join(known, "mention_id", "left")
+    out = out.join(priors.select("mention_type", "prior"), "mention_type", "left") if priors is not None else out.withColumn("prior", F.lit(None).cast("double"))
+    return out.withColumn("relation_score", F.coalesce("_w", "prior", F.lit(0.0))).drop("_w", "prior")
+
+
+def fitted(mentions: DataFrame, relations: DataFrame, gold: DataFrame, strategy: str, thresholds: list[float], alphas: tuple = (0.0, 0.5, 1.0), betas: tuple = (0.5, 1.0, 2.0)) -> dict:
+    """Parameters of a masking strategy, chosen on training mentions (chunk_id, mention_id, mention_type, start_char,
+    end_char, policy, gold_target).
+
+    ``policy`` masks by the model's own score; ``semantic`` by relation scores; ``both`` by the best combination of the two.
+    Of all parameters and thresholds the one with the best detection F1, then precision and recall, then the lowest
+    threshold is taken. Returns threshold, form, parameter and the weight tables, which ``applied`` takes.
+    """
+    joined = relations.join(mentions.select(F.col("mention_id").alias("head_id"), F.col("gold_target").cast("boolean").alias("head_gold")), "head_id", "left").join(mentions.select(F.col("mention_id").alias("tail_id"), F.col("gold_target").cast("boolean").alias("tail_gold")), "tail_id", "left")
+    weights = side_weights(joined).where("weight is not null").select("relation", "side", "entity_type", "weight")
+    model = {"strategy": strategy, "weights": weights, "priors": type_priors(mentions)}
+    tries = {"policy": [("policy", None)], "semantic": [("semantic", None)], "both": [("sum", a) for a in alphas] + [("fbeta", b) for b in betas]}[strategy]
+    best = None
+    for form, parameter in tries:
+        scored_ = applied(mentions, relations, model | {"form": form, "parameter": parameter})
+        row = best_threshold(detection(scored_, gold, "chunk_id", thresholds, "sensitivity").withColumn("grp", F.lit("all"))).head()
+        if row is not None and (best is None or (row["f1"], row["precision"], row["recall"]) > best[0]):
+            best = ((row["f1"], row["precision"], row["recall"]), form, parameter, row["threshold"])
+    return model | {"form": best[1] if best else tries[0][0], "parameter": best[2] if best else tries[0][1], "threshold": best[3] if best else 0.5}
+
+
+def applied(mentions: DataFrame, relations: DataFrame, model: dict) -> DataFrame:
+    """``mentions`` with ``sensitivity``, the score a fitted strategy gives them."""
+    rows = relation_scores(mentions, relations, model["weights"], model["priors"])
+    policy, relation = F.coalesce("policy", F.lit(0.0)), F.col("relation_score")
+    form, x = model["form"], model["parameter"]
+    value = policy if form == "policy" else relation if form == "semantic" else combined(policy, relation, x) if form == "sum" else combined(policy, relation, 0.5, x)
+    return rows.withColumn("sensitivity", F.round(value, 9))

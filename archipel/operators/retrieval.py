@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archipel.session import spread
+from archipel.session import slots, spread
 
-BLOCK = 4096  # queries held by a task at once
+BLOCK, PART, ROWS = 4096, 100_000, 256  # queries and vectors of a task, and rows of their product held at once
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -21,44 +19,44 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, where: str | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by cosine. Queries (query_id, dense) are taken in blocks of ``BLOCK``; each block
-    goes to all partitions of ``vectors`` (chunk_id, dense), which answer with their own k best. ``where`` filters vectors
-    before scoring."""
+    """(query_id, chunk_id, score, rank) by cosine of queries (query_id, dense) among ``vectors`` (chunk_id, dense).
+    ``where`` filters vectors before scoring. Null and all-zero vectors take no part; scores have six places.
+
+    Queries are dealt to blocks of about ``BLOCK``, vectors to parts of about ``PART``; every block meets every part in one
+    task, as a cogroup, and answers with its own k best. So neither side passes through the driver.
+    """
     if where:
         vectors = vectors.where(where)
-    spark = vectors.sparkSession
-    vectors = spread(vectors.where("dense is not null").select("chunk_id", "dense"))
-    n = queries.count()
-    numbered = queries.where("dense is not null").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // BLOCK)))))
-    parts = None
-    for b in range(max(1, -(-n // BLOCK))):
-        local = numbered.where(F.col("block") == b).select("query_id", "dense").collect()  # about BLOCK rows
-        ids = np.array([r["query_id"] for r in local], object)
-        q = np.array([r["dense"] for r in local], np.float64) if local else np.zeros((0, 1))
-        norm = np.linalg.norm(q, axis=1)
-        ids, q = ids[norm > 0], q[norm > 0] / norm[norm > 0, None]
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids_, q_ = shared.value
-            for batch in batches:
-                if not len(ids_) or not len(batch):
-                    continue
-                v = np.stack([np.asarray(x, np.float64) for x in batch["dense"]])
-                size = np.linalg.norm(v, axis=1)
-                keep = size > 0
-                v, names = v[keep] / size[keep, None], batch["chunk_id"].to_numpy()[keep]
-                if not len(v):
-                    continue
-                s = np.round(q_ @ v.T, 6)
+    vectors = vectors.where("dense is not null").select("chunk_id", "dense")
+    asked = queries.where("dense is not null").select("query_id", "dense")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    wide = slots(vectors.sparkSession)
+    parts = max(wide, -(-vectors.count() // PART))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    v = vectors.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+
+    def unit(rows: pd.DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
+        x = np.stack([np.asarray(r, np.float64) for r in rows["dense"]]) if len(rows) else np.zeros((0, 1))
+        norm = np.linalg.norm(x, axis=1)
+        return rows[name].to_numpy()[norm > 0], x[norm > 0] / norm[norm > 0, None]
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, x = unit(left, "query_id")
+        names, y = unit(right, "chunk_id")
+        found = []
+        if len(ids) and len(names):
+            for at in range(0, len(ids), ROWS):  # a few rows of the product at a time
+                s = np.round(x[at : at + ROWS] @ y.T, 6)
                 # everything at least as good as the k-th best, so ties are decided later
                 least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)][:, None]
                 i, j = np.nonzero(s >= least)
-                yield pd.DataFrame({"query_id": ids_[i], "chunk_id": names[j], "score": s[i, j]})
+                found.append(pd.DataFrame({"query_id": ids[at + i], "chunk_id": names[j], "score": s[i, j]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype=object), "chunk_id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
 
-        found = vectors.mapInPandas(run, "query_id string, chunk_id string, score double")
-        parts = found if parts is None else parts.union(found)
-    return ranked(parts, k)
+    by = ("block", "part")
+    met = spread(q, *by).groupBy(*by).cogroup(spread(v, *by).groupBy(*by)).applyInPandas(search, "query_id string, chunk_id string, score double")
+    return ranked(met, k)
 
 
 def sparse_topk(queries: DataFrame, postings: DataFrame, k: int = 10) -> DataFrame:
@@ -91,3 +89,25 @@ def graph_rerank(candidates: DataFrame, features: DataFrame, k: int, matched: fl
     rows = candidates.join(features, ["query_id", "chunk_id"], "left").withColumn("new_score", score)
     w = Window.partitionBy("query_id").orderBy(F.desc("new_score"), F.desc("score"), "rank")
     return rows.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= k).select("query_id", "chunk_id", F.col("new_score").alias("score"), F.col("new_rank").alias("rank"))
+
+
+def results(ranked_: DataFrame, chunks: DataFrame, method: str, preview: int = 500) -> DataFrame:
+    """Ranked hits as result rows: method, document, and the text to be judged, the first of embedding text, masked text and
+    summary that is there, with a preview. Of repeated chunks the first by text counts; a hit without a chunk stays."""
+    says = lambda c: F.nullif(F.col(c), F.lit(""))
+    text = F.coalesce(says("embedding_text"), says("masked_text"), says("summary"), F.lit(""))
+    facts = F.struct("document_id", "dataset", "modality", "title", text.alias("retrieval_text"))
+    c = chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.min(facts).alias("c"))
+    rows = ranked_.join(c, "chunk_id", "left").select("query_id", F.lit(method).alias("retrieval_method"), "chunk_id", "rank", "score", "c.*")
+    return rows.withColumn("retrieval_text", F.coalesce("retrieval_text", F.lit(""))).withColumn("preview", F.substring("retrieval_text", 1, preview))
+
+
+def compact_records(results_: DataFrame) -> DataFrame:
+    """(query_id, results): what a judge needs of a query's results, in the order of ranks."""
+    row = F.struct("rank", "chunk_id", "retrieval_method", "score", "retrieval_text")
+    return results_.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("results"))  # the k of a query
+
+
+def topk_cached(cache: DataFrame, k: int, strategy: str) -> DataFrame:
+    """(query_id) whose stored results of a strategy have at least ``k`` entries and need not be searched again."""
+    return cache.where((F.col("strategy") == strategy) & (F.size("results") >= k)).select("query_id").distinct()

@@ -10,7 +10,8 @@ from archipel.functions.text import f1, ratio
 
 
 def best_per_span(spans: DataFrame, keys: list[str], score: str = "score", order: str = "ord") -> DataFrame:
-    """The highest score per key, ties to the earliest."""
+    """The highest score per key (start, end, label and text for mentions), a missing one counting least, ties to the
+    earliest."""
     w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), order)
     return spans.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
@@ -77,12 +78,69 @@ def greedy_match(pred: DataFrame, gold: DataFrame, group: str, labelled: bool =
 
 
 def mismatches(pred: DataFrame, gold: DataFrame, group: str) -> DataFrame:
-    """(group, kind, n): wrong labels on equal offsets, predictions without and gold spans without a counterpart."""
-    at = [group, "start_char", "end_char"]
-    p = pred.groupBy(*at).agg(F.min("label").alias("pl"))
-    g = gold.groupBy(*at).agg(F.min("label").alias("gl"))
-    kind = F.when(F.col("gl").isNull(), "UNMATCHED_PREDICTION").when(F.col("pl").isNull(), "MISSING_GOLD").when(F.col("pl") != F.col("gl"), "LABEL_MISMATCH")
-    return p.join(g, at, "full").withColumn("kind", kind).where("kind is not null").groupBy(group, "kind").agg(F.count("*").alias("n"))
+    """(group, kind, label, gold_start, gold_end, predicted_start, predicted_end), one row per mistake.
+
+    In order, a prediction takes the free gold span of its label that it overlaps most (an exact one before others, then
+    the first). Predictions left over then do the same whatever the label, which is a LABEL_MISMATCH; what still has no
+    partner is an UNMATCHED_PREDICTION or MISSING_GOLD. Rows need a label and both offsets; repeated ones count once. A
+    group's spans, those of one text, are matched in one place.
+    """
+    whole = "start_char is not null and end_char is not null and label is not null"
+    listed = lambda df, name: df.where(whole).select(group, F.struct(F.col("start_char").cast("int").alias("s"), F.col("end_char").cast("int").alias("e"), F.upper("label").alias("l")).alias("x")).groupBy(group).agg(F.sort_array(F.collect_set("x")).alias(name))
+
+    def match(preds: pd.Series, golds: pd.Series) -> pd.Series:
+        out = []
+        for ps, gs in zip(preds, golds):
+            ps, gs = list(ps), list(gs)
+            free, rows = set(range(len(gs))), []
+
+            def best(x, labelled: bool) -> int | None:
+                fits = [(min(x["e"], gs[k]["e"]) - max(x["s"], gs[k]["s"]), x["s"] == gs[k]["s"] and x["e"] == gs[k]["e"], -k) for k in free if not labelled or gs[k]["l"] == x["l"]]
+                top = max(fits, default=(0, False, 0))
+                return -top[2] if top[0] > 0 else None
+
+            for labelled in (True, False):
+                left = []
+                for x in ps:
+                    k = best(x, labelled)
+                    if k is None:
+                        left.append(x)
+                        continue
+                    free.discard(k)
+                    if not labelled:
+                        rows.append(("LABEL_MISMATCH", f"{gs[k]['l']} -> {x['l']}", gs[k]["s"], gs[k]["e"], x["s"], x["e"]))
+                ps = left
+            rows += [("UNMATCHED_PREDICTION", x["l"], None, None, x["s"], x["e"]) for x in ps]
+            rows += [("MISSING_GOLD", gs[k]["l"], gs[k]["s"], gs[k]["e"], None, None) for k in sorted(free)]
+            out.append([dict(zip(("kind", "label", "gold_start", "gold_end", "predicted_start", "predicted_end"), r)) for r in rows])
+        return pd.Series(out)
+
+    fn = F.pandas_udf(match, "array<struct<kind:string,label:string,gold_start:int,gold_end:int,predicted_start:int,predicted_end:int>>")
+    none = F.array().cast("array<struct<s:int,e:int,l:string>>")
+    both = listed(pred, "p").join(listed(gold, "g"), group, "full")
+    return both.select(group, F.explode(fn(F.coalesce("p", none), F.coalesce("g", none))).alias("m")).select(group, "m.*")
+
+
+def best_target(pred: DataFrame, gold: DataFrame, group: str, key: str) -> DataFrame:
+    """``pred`` with ``gold_target``: of the gold span (start_char, end_char, target, ord) it overlaps most, the later one of
+    equals; null where it overlaps none. Spans of one text meet within the text only."""
+    g = gold.select(group, F.col("start_char").alias("_s"), F.col("end_char").alias("_e"), F.col("target").alias("_t"), F.col("ord").alias("_o"))
+    shared = F.least("end_char", "_e") - F.greatest("start_char", "_s")
+    hits = pred.select(group, key, "start_char", "end_char").join(g, group).withColumn("_shared", shared).where("_shared > 0")
+    best = hits.groupBy(group, key).agg(F.max_by("_t", F.struct("_shared", "_o")).alias("gold_target"))
+    return pred.join(best, [group, key], "left")
+
+
+def detection(pred: DataFrame, gold: DataFrame, group: str, thresholds: list[float], score: str = "score") -> DataFrame:
+    """(threshold, tp, fp, fn, precision, recall, f1, loss) of sensitive spans: those at or above the threshold are matched
+    one to one with gold spans they overlap, whatever the label."""
+    levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    key = F.concat_ws("\u0001", F.col("threshold").cast("string"), F.col(group)).alias("_g")
+    p = pred.select("*", levels).where(F.coalesce(F.col(score), F.lit(0.0)) >= F.col("threshold")).withColumn("label", F.lit("x")).select("*", key)
+    g = gold.select("*", levels).withColumn("label", F.lit("x")).select("*", key)
+    found = greedy_match(p, g, "_g", labelled=False)
+    counts = found.groupBy(F.split("_g", "\u0001")[0].cast("double").alias("threshold")).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    return scored(counts).withColumn("loss", F.round(1 - F.col("f1"), 6))
 
 
 def masking_metrics(pred: DataFrame, gold: DataFrame, texts: DataFrame, group: str) -> DataFrame:

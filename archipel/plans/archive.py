@@ -106,8 +106,18 @@ def surface_block_keys(spark, d):
     return rows.select("mention_text", "surface", T.block_key(F.col("surface")).alias("block"), T.is_acronym(F.col("mention_text")).alias("acronym"))
 
 
+def kind_of(c) -> F.Column:
+    """Mention types under the names of the relation schema; these tables say ORG."""
+    k = F.upper(F.trim(c))
+    return F.when(k == "ORG", "ORGANIZATION").otherwise(k)
+
+
+def typed_mentions(spark, d):
+    return mentions(spark, d).withColumn("mention_type", kind_of(F.col("mention_type")))
+
+
 def coref_rows(spark, d):
-    return coreference.candidates(mentions(spark, d), ["PERSON", "ORG", "MISC"])
+    return coreference.candidates(typed_mentions(spark, d))
 
 
 def exact_surface_clusters(spark, d):
@@ -150,12 +160,15 @@ def chunk_entity_edges(spark, d):
     return graph.chunk_entity_edges(linked(spark, d)).select("chunk_id", "entity_id", "mention_count", F.round("best_score", 6).alias("best_score"))
 
 
+def asked_terms(spark, d):
+    """The surface terms of all queries, and the words of all entity names that are long enough to be asked for."""
+    q = table(spark, d, "dense_judgments").where("query is not null").select("query").distinct()
+    return q.select(F.explode(T.surface_terms(F.col("query"))).alias("term")).union(table(spark, d, "nil_mentions").where("length(mention_text) between 2 and 60").select(F.col("mention_text"))).distinct()
+
+
 def surface_containment(spark, d):
-    """Entities whose name contains a term of the query or whose name a term contains."""
-    terms = spark.createDataFrame([("insurance",), ("marine research",), ("robert",), ("of agriculture",)], "term string")
-    e = table(spark, d, "local_entities").select("entity_id", F.lower("canonical_name").alias("name"))
-    hit = F.col("name").contains(F.col("term")) | F.col("term").contains(F.col("name"))
-    return e.join(F.broadcast(terms), hit).select("term", "entity_id")
+    """Entities whose name contains a term that is asked for, or whose name a term contains."""
+    return graph.surface_matches(asked_terms(spark, d), table(spark, d, "local_entities"))
 
 
 def entity_aliases(spark, d):
@@ -189,12 +202,12 @@ def graph_hints(spark, d):
 
 
 def pair_candidates(spark, d):
-    m = linked(spark, d).select("chunk_id", "entity_id", relations.type_code(F.col("mention_type")).alias("kind"), "start_char", "end_char").where("chunk_id is not null and kind is not null")
+    m = linked(spark, d).select("chunk_id", "entity_id", kind_of(F.col("mention_type")).alias("kind"), "start_char", "end_char").where("chunk_id is not null and kind is not null")
     return relations.pair_candidates(m, relations.relation_schema(spark)).select("chunk_id", "head", "tail", F.col("gap").cast("bigint").alias("gap"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def predictions(spark, d):
-    l = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.pmod("l_partkey", F.lit(50))).alias("head"), F.concat(F.lit("p"), F.pmod("l_suppkey", F.lit(50))).alias("tail"), F.when(F.col("l_returnflag") == "R", "works-for").when(F.col("l_returnflag") == "A", "part of").otherwise("located in").alias("label"), F.lit("ORG").alias("head_type"), F.when(F.col("l_linestatus") == "O", "LOC").otherwise("ORG").alias("tail_type"), F.col("l_discount").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    l = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.pmod("l_partkey", F.lit(50))).alias("head"), F.concat(F.lit("p"), F.pmod("l_suppkey", F.lit(50))).alias("tail"), F.when(F.col("l_returnflag") == "R", "works-for").when(F.col("l_returnflag") == "A", "part of").otherwise("located in").alias("label"), F.lit("ORGANIZATION").alias("head_type"), F.when(F.col("l_linestatus") == "O", "LOCATION").otherwise("ORGANIZATION").alias("tail_type"), F.col("l_discount").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
     return l
 
 
@@ -255,7 +268,7 @@ def span_match_relaxed(spark, d):
 
 def span_mismatches(spark, d):
     p, g = sides(spark, d)
-    return spans.mismatches(p, g, "chunk_id").groupBy("kind").agg(F.sum("n").alias("n"))
+    return spans.mismatches(p, g, "chunk_id").groupBy("kind", "label").agg(F.count("*").alias("n"))
 
 
 def merged_span_length(spark, d):
@@ -320,12 +333,9 @@ def relation_summary(spark, d):
 
 
 def context_windows(spark, d):
-    """A mention with the text around it, 40 characters to each side, marked."""
-    t = chunks(spark, d).where("raw_text is not null").groupBy("chunk_id").agg(F.min("raw_text").alias("t"))
-    g = gold_spans(spark, d).join(t, "chunk_id").where((F.col("start_char") >= 0) & (F.col("end_char") <= F.length("t")))
-    left = F.substr("t", F.greatest(F.col("start_char") - 40, F.lit(0)) + 1, F.least(F.col("start_char"), F.lit(40)))
-    mid = F.substr("t", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
-    return g.select("chunk_id", "start_char", "end_char", F.md5(F.concat(left, F.lit("[MENTION]"), mid, F.lit("[/MENTION]"), F.substr("t", F.col("end_char") + 1, F.lit(40)))).alias("digest")).distinct()
+    """Mentions that may be clustered, with the text around them, 240 characters to each side, marked."""
+    rows = coreference.prepared(typed_mentions(spark, d), chunks(spark, d), "raw_text")
+    return rows.select("mention_id", "block_key", F.md5("context_text").alias("digest"))
 
 
 def document_chunks(spark, d):
@@ -400,6 +410,13 @@ def entity_chain(spark, d):
     return e.select(F.concat(F.lit("x"), "entity_id").alias("relation_id"), F.col("entity_id").alias("start_id"), nxt.alias("end_id")).where("end_id is not null")
 
 
+KIND_SQL = "case when upper(trim(mention_type)) = 'ORG' then 'ORGANIZATION' else upper(trim(mention_type)) end"
+
+TERMS_SQL = r"""list_slice(list_filter(tidy, lambda x, i: list_position(low, lower(x)) = i), 1, {n})"""
+
+QUERY_TERMS_SQL = r"""qt as (select query_id, query, list_filter(list_transform(list_filter(list_concat(list_transform(regexp_extract_all(query, '"([^"]+)"|''([^'']+)'''), lambda x: x[2:-2]), regexp_extract_all(query, '\b[A-Z][A-Za-z0-9&.-]*(?:\s+[A-Z][A-Za-z0-9&.-]*)*'), regexp_extract_all(query, '\b[A-Z]{2,}\b')), lambda x: trim(x) not in ({stop})), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as tidy from (select distinct query_id, query from dense_judgments where query is not null)),
+    ql as (select *, list_transform(tidy, lambda x: lower(x)) as low from qt), qs as (select query_id, query, list_filter(tidy, lambda x, i: list_position(low, lower(x)) = i) as terms from ql)""".replace("{stop}", ", ".join(f"'{w}'" for w in T.QUERY_STOPWORDS))
+
 LINKED_SQL = f"""linked as (
     select m.*, e.entity_id from (select distinct mention_id, chunk_id, start_char, end_char, confidence, mention_type, {surface_sql('mention_text')} as surface from nil_mentions) m
     join (select entity_id, {surface_sql('canonical_name')} as surface from local_entities) e using (surface))"""
@@ -425,14 +442,14 @@ QUOTED = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words
 BLOCK_SQL = f"""case when len(ws) = 0 then '' when len(ws) = 1 then substr(ws[1], 1, 4) when len(tel) > 0 then list_filter(tel, lambda w: length(w) = list_max(list_transform(tel, lambda x: length(x))))[1] else array_to_string(ws[1:2], ' ') end"""
 
 COREF_SQL = f"""m as (
-    select distinct mention_id, mention_text, upper(mention_type) as mention_type, dataset, document_id, chunk_id, {surface_sql('mention_text')} as surface from nil_mentions
+    select distinct mention_id, mention_text, case when upper(trim(mention_type)) = 'ORG' then 'ORGANIZATION' else upper(trim(mention_type)) end as mention_type, dataset, document_id, chunk_id, {surface_sql('mention_text')} as surface from nil_mentions
 ), k as (
     select *, list_filter(string_split(surface, ' '), lambda w: w <> '') as ws, list_filter(string_split(surface, ' '), lambda w: length(w) > 2 and w not in ({QUOTED(T.BLOCK_STOPWORDS)})) as tel, string_split(surface, ' ')[-1] as lastw,
         regexp_replace(coalesce(mention_text, ''), '[^\\p{{L}}]', '', 'g') as letters from m
 ), c as (
-    select *, {BLOCK_SQL} as block from k where mention_type in ('PERSON', 'ORG', 'MISC') and surface is not null and surface <> '' and surface not in ({QUOTED(T.PRONOUNS + T.GENERIC + T.ROLES)})
+    select *, {BLOCK_SQL} as block from k where mention_type in ({QUOTED(coreference.TYPES)}) and surface is not null and surface <> '' and surface not in ({QUOTED(T.PRONOUNS + T.GENERIC + T.ROLES)})
         and not (mention_type = 'PERSON' and (regexp_matches(surface, '^(a|an|another|her|his|my|other|our|some|their|your) ') or lastw in ({QUOTED(T.ROLES + T.PERSON_WORDS)})))
-        and not (mention_type = 'ORG' and (regexp_matches(surface, '^(a|an|another|other|some) ') or lastw in ('authorities', 'center', 'commission', 'entities', 'judges', 'owners', 'voters', 'workers')))
+        and not (mention_type = 'ORGANIZATION' and (regexp_matches(surface, '^(a|an|another|other|some) ') or lastw in ('authorities', 'center', 'commission', 'entities', 'judges', 'owners', 'voters', 'workers')))
 ), g as (
     select *, case when surface in ({QUOTED(T.AMBIGUOUS)}) or (not contains(surface, ' ') and length(surface) <= 3) then concat_ws('|', mention_type, 'ambiguous', coalesce(dataset, ''), coalesce(document_id, ''), block)
         when length(letters) between 2 and 8 and letters = upper(letters) then concat_ws('|', mention_type, 'acronym', coalesce(dataset, ''), block) else concat_ws('|', mention_type, 'surface', block) end as block_key from c)"""
@@ -441,8 +458,8 @@ LABEL_SQL = f"""{COREF_SQL}, labels as (
     select g.block_key as pred, nullif(n.gold, '') as gold from g join (select distinct mention_id, lower(normalized_mention_text) as gold from nil_mentions) n using (mention_id)
 ), ct as (select pred, gold, count(*) as n from labels where pred is not null and gold is not null group by all)"""
 
-PRED_SQL = """p as (select 'p' || (l_partkey % 50) as head, 'p' || (l_suppkey % 50) as tail, case when l_returnflag = 'R' then 'works-for' when l_returnflag = 'A' then 'part of' else 'located in' end as label, 'ORG' as head_type,
-    case when l_linestatus = 'O' then 'LOC' else 'ORG' end as tail_type, l_discount as score, l_orderkey * 10 + l_linenumber as ord from lineitem)"""
+PRED_SQL = """p as (select 'p' || (l_partkey % 50) as head, 'p' || (l_suppkey % 50) as tail, case when l_returnflag = 'R' then 'works-for' when l_returnflag = 'A' then 'part of' else 'located in' end as label, 'ORGANIZATION' as head_type,
+    case when l_linestatus = 'O' then 'LOCATION' else 'ORGANIZATION' end as tail_type, l_discount as score, l_orderkey * 10 + l_linenumber as ord from lineitem)"""
 
 ALLOWED = ", ".join(f"('{r}', '{h}', '{t}')" for r, _, h, t in relations.schema_rows())
 
@@ -486,18 +503,18 @@ SQL = {
     "coref_blocks": f"with {COREF_SQL} select block_key, count(*) as mentions, count(distinct surface) as surfaces from g group by 1",
     "exact_surface_clusters": f"with {COREF_SQL}, per as (select block_key, surface, mention_text, count(*) as c from g group by all), b as (select *, sum(c) over (partition by block_key, surface) as n, row_number() over (partition by block_key, surface order by c desc, (mention_text = upper(mention_text) and length(mention_text) > 3)::int, length(mention_text) desc, mention_text desc) as r from per) select block_key, surface, n::bigint as n, mention_text as canonical_name from b where r = 1 and n >= 2",
     "pairwise_coref": f"with {LABEL_SQL}, a as (select (select sum(n * (n - 1) / 2) from ct) as tp, (select sum(n * (n - 1) / 2) from (select sum(n) as n from ct group by pred)) as pp, (select sum(n * (n - 1) / 2) from (select sum(n) as n from ct group by gold)) as gp) select tp::bigint as tp, pp::bigint as pred_pairs, gp::bigint as gold_pairs, round(case when pp > 0 then tp / pp else 0 end, 6) as precision, round(case when gp > 0 then tp / gp else 0 end, 6) as recall, round(case when pp + gp > 0 then 2 * tp / (pp + gp) else 0 end, 6) as f1 from a",
-    "purity": f"with {LABEL_SQL} select (select sum(n) from ct)::bigint as total, round((select sum(m) from (select max(n) as m from ct group by pred)) / (select sum(n) from ct), 6) as purity, round((select sum(m) from (select max(n) as m from ct group by gold)) / (select sum(n) from ct), 6) as inverse_purity",
+    "purity": f"with {LABEL_SQL} select (select sum(n) from ct)::bigint as total, round((select sum(m) from (select max(n) as m from ct group by pred)) / (select sum(n) from ct), 6) as purity, round((select sum(m) from (select max(n) as m from ct group by gold)) / (select sum(n) from ct), 6) as inverse_purity, round((select count(pred) / count(*) from labels), 6) as coverage",
     "nil_summary": f"select mention_type, surface, count(*) as n from (select distinct mention_id, mention_type, {surface_sql('mention_text')} as surface from nil_mentions) group by all order by n desc, surface nulls first, mention_type nulls first limit 100",
     "chunk_entity_edges": f"with {LINKED_SQL} select chunk_id, entity_id, count(*) as mention_count, round(max(confidence), 6) as best_score from linked group by all",
-    "surface_containment": "select term, entity_id from local_entities, (values ('insurance'), ('marine research'), ('robert'), ('of agriculture')) v(term) where contains(lower(canonical_name), term) or contains(term, lower(canonical_name))",
+    "surface_containment": f"with {QUERY_TERMS_SQL}, t as (select distinct unnest(terms[1:8]) as term from qs union select distinct mention_text from nil_mentions where length(mention_text) between 2 and 60) select distinct term, entity_id from local_entities, t where length(trim(term)) >= 2 and (contains(lower(canonical_name), lower(trim(term))) or (length(canonical_name) >= 2 and contains(lower(trim(term)), lower(canonical_name))))",
+    "query_terms": f"with {QUERY_TERMS_SQL} select query_id, query, array_to_string(terms[1:8], '|') as terms from qs",
     "entity_aliases": "with f as (select entity_id, canonical_name, unnest(case when aliases is null or len(aliases) = 0 then [null] else aliases end) as alias from local_entities) select entity_id, canonical_name, count(distinct alias) as n_aliases, coalesce(array_to_string(list_sort(list_distinct(list(alias) filter (alias is not null))), '|'), '') as aliases from f group by all",
     "entity_upsert": f"with {LINKED_SQL}, n as (select entity_id, max(mention_type) as kind from linked group by 1) select entity_id, canonical_name as name, coalesce(n.kind, e.entity_type) as kind from local_entities e left join n using (entity_id)",
     "typed_relation_counts": f"select relation_type, count(*) as n from (select upper(trim(relation_type)) as relation_type from ({EDGES_SQL})) where regexp_matches(relation_type, '^[A-Z][A-Z0-9_]*$') group by 1",
     "graph_hints": f"with e as (select * from ({EDGES_SQL}) where regexp_matches(upper(trim(relation_type)), '^[A-Z][A-Z0-9_]*$')), b as (select start_id as entity_id, end_id as other from e union select end_id, start_id from e), k as (select * from b where entity_id in (select 'n' || n_nationkey from nation) qualify row_number() over (partition by entity_id order by other) <= 12) select entity_id, string_agg(other, ',' order by other) as neighbours from k group by 1",
-    "pair_candidates": f"""with {LINKED_SQL}, m as (select distinct chunk_id, entity_id, case when starts_with(upper(mention_type), 'PER') then 'PER' when starts_with(upper(mention_type), 'ORG') then 'ORG' else upper(mention_type) end as kind, start_char, end_char from linked where chunk_id is not null and mention_type is not null),
-        r as (select *, row_number() over (partition by chunk_id order by start_char nulls first, end_char nulls first, entity_id) as pos from m), ab as (select a.chunk_id, a as a, b as b from r a join r b on a.chunk_id = b.chunk_id and b.pos between a.pos + 1 and a.pos + 8), p as (select chunk_id, a as h, b as t from ab union all select chunk_id, b, a from ab),
-        s as (select distinct ht, tt from (values {ALLOWED}) v(relation, ht, tt)), g as (select chunk_id, h.entity_id as head, t.entity_id as tail, greatest(0, greatest(h.start_char, t.start_char) - least(h.end_char, t.end_char)) as gap, h.start_char as hs, t.start_char as ts from p join s on h.kind = ht and t.kind = tt where h.entity_id <> t.entity_id)
-        select chunk_id, head, tail, gap, row_number() over (partition by chunk_id order by gap nulls first, hs nulls first, ts nulls first, head, tail) as rank from g where gap <= 2000 qualify rank <= 8""",
+    "pair_candidates": f"""with {LINKED_SQL}, m as (select distinct chunk_id, entity_id, {KIND_SQL} as kind, coalesce(start_char::double, '-inf'::double) as s, greatest(coalesce(start_char::double, '-inf'::double), coalesce(end_char::double, 'inf'::double)) as e from linked where chunk_id is not null and mention_type is not null),
+        al as (select distinct ht, tt from (values {ALLOWED}) v(relation, ht, tt)), g as (select h.chunk_id, h.entity_id as head, t.entity_id as tail, greatest(0, greatest(h.s, t.s) - least(h.e, t.e)) as gap, h.s as hs, t.s as ts from m h join m t on h.chunk_id = t.chunk_id and h.entity_id <> t.entity_id join al on h.kind = ht and t.kind = tt)
+        select chunk_id, head, tail, gap::bigint as gap, row_number() over (partition by chunk_id order by gap, hs, ts, head, tail) as rank from g where gap <= 2000 qualify rank <= 8""",
     "typed_relations_normalized": f"with {NORMALIZED_SQL.format(t=0.05)} select head, tail, relation, score from normal",
     "edge_set_algebra": f"with {NORMALIZED_SQL.format(t=0.0)}, x as (select distinct head, tail, relation from normal where score >= 0.1), y as (select distinct head, tail, relation from normal where length(head) = 2 or score < 0.1), j as (select coalesce(x.relation, y.relation) as relation, x.head is not null as in_p, y.head is not null as in_g from x full join y on x.head = y.head and x.tail = y.tail and x.relation = y.relation), c as (select relation, count(*) filter (in_p and in_g) as tp, count(*) filter (not in_g) as fp, count(*) filter (not in_p) as fn from j group by 1) select *, {SCORED_SQL} from c",
     "relation_side_weights": f"with {PRED_SQL}, s as (select upper(label) as relation, 'head' as side, head_type as entity_type, (score >= 0.05)::int as g from p union all select upper(label), 'tail', tail_type, (score >= 0.08)::int from p) select relation, side, entity_type, count(*) as n, round(avg(g), 6) as weight from s group by all",
@@ -506,7 +523,6 @@ SQL = {
     "score_bands": "select case when l_discount * 10 < 0.15 then 'very_low' when l_discount * 10 < 0.4 then 'low' when l_discount * 10 < 0.7 then 'medium' else 'high' end as band, count(*) as n from lineitem group by 1",
     "span_dedup_best": f"with {SPAN_SQL} select mention_id, chunk_id, start_char, end_char, label from sp qualify row_number() over (partition by chunk_id, start_char, end_char, label order by confidence desc nulls last, mention_id) = 1",
     "span_match_strict": f"with {SPAN_SQL}, x as (select distinct chunk_id, label from sp where extractor = 'gliner'), y as (select distinct chunk_id, label from sp where extractor = 'manual_entry'), j as (select coalesce(x.label, y.label) as label, x.chunk_id is not null as in_p, y.chunk_id is not null as in_g from x full join y on x.chunk_id = y.chunk_id and x.label = y.label), c as (select label, count(*) filter (in_p and in_g) as tp, count(*) filter (not in_g) as fp, count(*) filter (not in_p) as fn from j group by 1) select *, {SCORED_SQL} from c",
-    "span_mismatches": f"with {SPAN_SQL}, x as (select chunk_id, start_char, end_char, min(label) as pl from sp where extractor = 'gliner' group by all), y as (select chunk_id, start_char, end_char, min(label) as gl from sp where extractor = 'manual_entry' group by all), j as (select case when gl is null then 'UNMATCHED_PREDICTION' when pl is null then 'MISSING_GOLD' when pl <> gl then 'LABEL_MISMATCH' end as kind from x full join y on x.chunk_id = y.chunk_id and x.start_char = y.start_char and x.end_char = y.end_char) select kind, count(*) as n from j where kind is not null group by 1",
     "merged_span_length": f"with {SPAN_SQL}, d as (select distinct chunk_id, start_char, end_char from sp) select chunk_id, m::bigint as merged_chars from {MERGE_SQL.format(t='d')}",
     "masking_metrics": f"with {SPAN_SQL}, {GOLD_SQL}, ps as (select distinct chunk_id, start_char, end_char from sp where chunk_id in (select chunk_id from archive_chunks)), u as (select * from ps union all select * from gs), tx as (select chunk_id, max(length(raw_text)) as chars from archive_chunks group by 1), mp as {MERGE_SQL.format(t='ps')}, mg as {MERGE_SQL.format(t='gs')}, mu as {MERGE_SQL.format(t='u')}, s as (select sum(chars)::bigint as chars, coalesce(sum(mp.m), 0)::bigint as masked, coalesce(sum(mg.m), 0)::bigint as sensitive, coalesce(sum(coalesce(mp.m, 0) + coalesce(mg.m, 0) - mu.m), 0)::bigint as covered from tx left join mp using (chunk_id) left join mg using (chunk_id) left join mu using (chunk_id)) select *, round(covered / sensitive, 6) as ssr, round(covered / masked, 6) as ssp, round(2 * covered / (sensitive + masked), 6) as f1, round(1 - covered / sensitive, 6) as rstr, round(masked / chars, 6) as mcr from s",
     "span_repair": """with t as (select chunk_id, min(raw_text) as t from archive_chunks where raw_text is not null group by 1), g as (select distinct chunk_id, start_char, end_char, label, text from (select chunk_id, e.start as start_char, e."end" as end_char, e.entity_type as label, e.text as text from (select chunk_id, unnest(sensitive_entities) as e from archive_chunks)) where start_char is not null and end_char > start_char and text is not null)
@@ -517,8 +533,9 @@ SQL = {
     "assisted_gold_ids": f"with {COREF_SQL} select mention_id, concat_ws('_', 'gold', lower(mention_type), replace(surface, ' ', '_')) as gold_id from (select *, count(*) over (partition by mention_type, surface) as n from g where not (surface in ({QUOTED(T.AMBIGUOUS)}) or (not contains(surface, ' ') and length(surface) <= 3))) where n >= 2",
     "quota_sample": f"with {PRED_SQL}, r as (select distinct ord::varchar as key, label as family, case when score * 10 < 0.15 then 'very_low' when score * 10 < 0.4 then 'low' when score * 10 < 0.7 then 'medium' else 'high' end as band from p), t as (select *, row_number() over (partition by band, family order by {DICE_SQL.format(k='key')}, key) as turn from r), q as (select *, row_number() over (partition by band order by turn, family, key) as place from t) select key, family, band from q where place <= case band when 'very_low' then 40 when 'low' then 70 when 'medium' then 70 else 20 end",
     "relation_summary": f"with {NORMALIZED_SQL.format(t=0.0)} select relation, count(*) as edges, count(distinct head) as heads, count(distinct tail) as tails, round(avg(score), 6) as mean_score, case relation when 'WORKS_FOR' then 'actor_affiliation' when 'PART_OF' then 'structure' else 'location' end as family from normal group by 1",
-    "context_windows": """with t as (select chunk_id, min(raw_text) as t from archive_chunks where raw_text is not null group by 1), g as (select distinct chunk_id, start_char, end_char from (select chunk_id, e.start as start_char, e."end" as end_char from (select chunk_id, unnest(sensitive_entities) as e from archive_chunks)) where start_char is not null and end_char > start_char)
-        select distinct chunk_id, start_char, end_char, md5(substr(t, greatest(start_char - 40, 0) + 1, least(start_char, 40)) || '[MENTION]' || substr(t, start_char + 1, end_char - start_char) || '[/MENTION]' || substr(t, end_char + 1, 40)) as digest from g join t using (chunk_id) where start_char >= 0 and end_char <= length(t)""",
+    "context_windows": f"""with {COREF_SQL}, t as (select chunk_id, min(raw_text) as t from archive_chunks where chunk_id is not null group by 1), n as (select mention_id, any_value(modality) as modality, any_value(start_char) as s, any_value(end_char) as e from (select distinct mention_id, modality, start_char, end_char from nil_mentions) group by 1),
+        x as (select g.*, n.modality, coalesce(t, '') as t, greatest(0, least(coalesce(s::int, 0), length(coalesce(t, '')))) as s, e from g join n using (mention_id) left join t using (chunk_id)), y as (select *, greatest(s, least(coalesce(e::int, s), length(t))) as z from x)
+        select mention_id, block_key, md5('Dataset: ' || coalesce(dataset, '') || chr(10) || 'Modality: ' || coalesce(modality, '') || chr(10) || 'Mention type: ' || mention_type || chr(10) || 'Mention: ' || mention_text || chr(10) || 'Context: ' || trim(substr(t, greatest(s - 240, 0) + 1, least(s, 240))) || ' [MENTION] ' || case when trim(substr(t, s + 1, z - s)) <> '' then trim(substr(t, s + 1, z - s)) else mention_text end || ' [/MENTION] ' || trim(substr(t, z + 1, 240))) as digest from y""",
     "qrel_dedup": f"select query_id, query, source_chunk_id from (select distinct query_id, query, source_chunk_id from dense_judgments where query is not null) qualify row_number() over (partition by {FORM_SQL} order by source_chunk_id nulls first, query_id nulls first) = 1",
     "query_ids": f"select distinct source_chunk_id, query, 'q_' || substr(sha1(concat_ws('|', source_chunk_id, {FORM_SQL})), 1, 16) as made_id from (select distinct query_id, query, source_chunk_id from dense_judgments where query is not null)",
     "qrel_validation": r"""with r as (select trim(coalesce(query, '')) as q, trim(coalesce(expected_relevant_information, '')) as e, trim(coalesce(rationale, '')) as a, trim(coalesce(evaluation_strategy, '')) as t, trim(coalesce(relevance_label, '')) as l, coalesce(judgment_status = 'failed', false) as x from dense_judgments),

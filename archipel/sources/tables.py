@@ -68,13 +68,20 @@ def read_record(spark: SparkSession, path: str) -> dict:
     return row[0].asDict(recursive=True) if row else {}
 
 
-def read_runs(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Frozen runs: a file per strategy; completed records only, the last of each query, results one per row."""
+def read_runs(spark: SparkSession, pattern: str, schema: str, queries: int | None = None) -> DataFrame:
+    """Frozen runs: a file per strategy; completed records only, the last of each query, results one per row. With
+    ``queries``, only the first so many different queries of each strategy, in the order of the file."""
     if not exists(spark, pattern):
         return spark.createDataFrame([], "strategy string, query_id string, chunk_id string, rank int, score double")
     rows = spark.read.schema(schema).json(pattern).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:_[^_/]*)?\.jsonl?$", 1).alias("strategy"), F.monotonically_increasing_id().alias("line"))
     w = Window.partitionBy("strategy", "query_id").orderBy(F.desc("line"))
-    last = rows.where("status = 'completed'").withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    done = rows.where("status = 'completed'")
+    last = done.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    if queries is not None:
+        seen = done.groupBy("strategy", "query_id").agg(F.min("line").alias("at"))
+        early = Window.partitionBy("strategy").orderBy("at")
+        kept = seen.withColumn("_n", F.row_number().over(early)).where(F.col("_n") <= queries)
+        last = last.join(kept.select("strategy", "query_id"), ["strategy", "query_id"], "left_semi")
     return last.select("strategy", "query_id", F.posexplode("results").alias("p", "x")).select("strategy", "query_id", "x.chunk_id", (F.col("p") + 1).alias("rank"), "x.score")
 
 
@@ -104,3 +111,126 @@ def cached_result(cache: DataFrame, k: int) -> DataFrame:
 def unique_violations(rows: DataFrame, key: str) -> DataFrame:
     """Keys that break uniqueness; empty if the constraint holds."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def within_bytes(rows: DataFrame, text: str, limit: int, order: str) -> DataFrame:
+    """The first rows, in the order of ``order``, whose texts together have at most ``limit`` bytes. Ranges of rows are
+    summed first, so no task sees all."""
+    sized = rows.withColumn("_b", F.octet_length(F.coalesce(text, F.lit(""))).cast("bigint"))
+    numbered = sized.orderBy(order).withColumn("_p", F.spark_partition_id())
+    sums = numbered.groupBy("_p").agg(F.sum("_b").alias("_s"))
+    before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum("_b").over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return numbered.withColumn("_own", own).join(before, "_p").where(F.col("_own") + F.col("_before") <= limit).select(*rows.columns)
+
+
+def row_count(rows: DataFrame) -> int:
+    """Rows as records, whatever line breaks their cells hold."""
+    return rows.count()
+
+
+def read_splits(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
+    """Records of several splits, a path of JSON each (an array or one per line, packed or not), with their ``split``. A path
+    that does not exist falls back to the same with ``.jsonl`` and then to none; zip archives are opened by Spark's binary
+    reader, one file a task."""
+    out = None
+    for name, path in paths.items():
+        found = next((p for p in (path, f"{path}.jsonl", f"{path}.json") if exists(spark, p)), None)
+        if found is None:
+            continue
+        rows = unzipped(spark, found, schema) if found.endswith(".zip") else spark.read.schema(schema).option("multiLine", not found.endswith(".jsonl")).json(found)
+        rows = rows.withColumn("split", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else spark.createDataFrame([], schema + ", split string")
+
+
+def unzipped(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON records of the files in zip archives."""
+
+    def run(batches):
+        import io
+        import json
+        import zipfile
+
+        import pandas as pd
+
+        for batch in batches:
+            for blob in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(blob)) as z:
+                    for name in z.namelist():
+                        if not name.endswith((".json", ".jsonl")):
+                            continue
+                        text = z.read(name).decode("utf-8")
+                        try:
+                            value = json.loads(text)
+                            records = value if isinstance(value, list) else [value]
+                        except ValueError:
+                            records = [json.loads(line) for line in text.splitlines() if line.strip()]
+                        yield pd.DataFrame({"r": [json.dumps(r, ensure_ascii=False) for r in records]})
+
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "r string")
+    return raw.select(F.from_json("r", schema).alias("r")).select("r.*")
+
+
+def read_judgments(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """Judgment logs, a folder per judge and a file per strategy; a file with more than one judge is an error. Of each
+    (judge, strategy, query, chunk, rank) the last usable record counts, else the last."""
+    if not exists(spark, pattern):
+        return spark.createDataFrame([], schema + ", strategy string")
+    rows = spark.read.schema(schema).json(pattern).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+    mixed = rows.where("judge_model is not null").groupBy("_file").agg(F.count_distinct("judge_model").alias("n")).where("n <> 1").limit(1).collect()
+    if mixed:
+        raise ValueError(f"expected one judge in {mixed[0]['_file']}, found {mixed[0]['n']}")
+    rows = rows.withColumn("strategy", F.regexp_extract("_file", r"([^/]+?)(?:_judgments)?\.jsonl?$", 1))
+    ok = F.coalesce(F.col("relevance_score").between(0, 3), F.lit(False)).cast("int")
+    w = Window.partitionBy("judge_model", "strategy", "query_id", "chunk_id", "rank").orderBy(F.desc(ok), F.desc("_line"))
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_file", "_line")
+
+
+def write_record(spark: SparkSession, record: dict, path: str) -> None:
+    """One JSON object as one file in the folder ``path``; ``read_record`` gives it back."""
+    import json
+
+    spark.createDataFrame([(json.dumps(record, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def append_result(results: DataFrame, path: str, config: str) -> None:
+    """Ranked results (query_id, chunk_id, rank, score) appended to the cache of a configuration: one row per query with its
+    list, under a folder of the configuration's key."""
+    row = F.struct("rank", "chunk_id", "score")
+    lists = results.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("results")).withColumn("config", F.substring(F.sha1(F.lit(config)), 1, 16)).withColumn("line", F.unix_micros(F.current_timestamp()))
+    lists.write.mode("append").partitionBy("config").parquet(path)
+
+
+def export(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]] | None = None) -> dict[str, int]:
+    """Writes tables below ``path``: without keys anew, with keys by appending rows that are not there yet. Returns the
+    number of rows added where keys are given."""
+    added = {}
+    for name, rows in tables.items():
+        if keys is None:
+            rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        else:
+            added[name] = append_new(rows, f"{path}/{name}", keys[name])
+    return added
+
+
+def existing(rows: DataFrame, have: DataFrame, key: str) -> DataFrame:
+    """(key) of ``rows`` that the store has."""
+    return rows.select(key).distinct().join(have.select(key).distinct(), key, "left_semi")
+
+
+# The graph's input tables.
+GRAPH_INPUTS = ["datasets", "modalities", "documents", "chunks", "mentions", "entities", "relations"]
+
+
+def manifest(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """(name, path, present, rows): the graph's input tables below ``path``, and which of them are missing."""
+    out = []
+    for name in names or GRAPH_INPUTS:
+        there = exists(spark, f"{path}/{name}")
+        out.append((name, f"{path}/{name}", there, spark.read.parquet(f"{path}/{name}").count() if there else None))
+    return spark.createDataFrame(out, "name string, path string, present boolean, rows bigint")
+
+
+def preview(rows: DataFrame, n: int = 5) -> DataFrame:
+    return rows.limit(n)
