@@ -50,6 +50,14 @@ def ablation(queries: DataFrame, strategies: dict[str, Callable[[DataFrame, int]
     return out
 
 
+def scorer(judge: Callable[[pd.DataFrame], list[int]]) -> Callable:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for e, t in batches:
+            yield pd.Series(judge(pd.DataFrame({"expected": e, "text": t})), dtype="Int64")
+
+    return F.pandas_udf(run, "bigint")
+
+
 def judged(results: DataFrame, qrels: DataFrame, judges: dict[str, Callable[[pd.DataFrame], list[int]]], done: DataFrame | None = None) -> DataFrame:
     """Judgments (judgment_key, judge_model, strategy, query_id, chunk_id, rank, relevance_score, judgment_status,
     is_source_chunk) of results (strategy, query_id, chunk_id, rank, text) by every judge, but for the keys in ``done``.
@@ -64,12 +72,8 @@ def judged(results: DataFrame, qrels: DataFrame, judges: dict[str, Callable[[pd.
         if done is not None:
             rows = rows.join(done.select("judgment_key").distinct(), "judgment_key", "left_anti")
 
-        def run(batches: Iterator[tuple[pd.Series, pd.Series]], judge=judge) -> Iterator[pd.Series]:
-            for e, t in batches:
-                yield pd.Series(judge(pd.DataFrame({"expected": e, "text": t})), dtype="Int64")
-
         pairs = rows.groupBy("judgment_key").agg(F.min(F.struct("expected_relevant_information", "text")).alias("p"))
-        scores = pairs.select("judgment_key", F.pandas_udf(run, "bigint")(F.col("p.expected_relevant_information"), F.col("p.text")).alias("s"))
+        scores = pairs.select("judgment_key", scorer(judge)(F.col("p.expected_relevant_information"), F.col("p.text")).alias("s"))
         scores = scores.select("judgment_key", F.when(F.col("s").between(0, 3), F.col("s")).alias("relevance_score"))
         part = rows.join(scores, "judgment_key").withColumn("judgment_status", F.when(F.col("relevance_score").isNull(), "failed").otherwise("completed"))
         part = part.select("judgment_key", "judge_model", "strategy", "query_id", "chunk_id", "rank", "relevance_score", "judgment_status", "is_source_chunk")

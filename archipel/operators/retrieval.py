@@ -28,7 +28,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, where: str |
     if where:
         vectors = vectors.where(where)
     vectors = vectors.where("dense is not null").select("chunk_id", "dense")
-    asked = queries.where("dense is not null").select("query_id", "dense")
+    asked = queries.where("dense is not null").select("query_id", F.col("dense").alias("asked"))  # a name of its own: queries may be vectors
     blocks = max(1, -(-asked.count() // BLOCK))
     wide = slots(vectors.sparkSession)
     parts = max(wide, -(-vectors.count() // PART))
@@ -36,14 +36,14 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, where: str |
     q = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
     v = vectors.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
 
-    def unit(rows: pd.DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack([np.asarray(r, np.float64) for r in rows["dense"]]) if len(rows) else np.zeros((0, 1))
+    def unit(rows: pd.DataFrame, name: str, column: str) -> tuple[np.ndarray, np.ndarray]:
+        x = np.stack([np.asarray(r, np.float64) for r in rows[column]]) if len(rows) else np.zeros((0, 1))
         norm = np.linalg.norm(x, axis=1)
         return rows[name].to_numpy()[norm > 0], x[norm > 0] / norm[norm > 0, None]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, x = unit(left, "query_id")
-        names, y = unit(right, "chunk_id")
+        ids, x = unit(left, "query_id", "asked")
+        names, y = unit(right, "chunk_id", "dense")
         found = []
         if len(ids) and len(names):
             for at in range(0, len(ids), ROWS):  # a few rows of the product at a time

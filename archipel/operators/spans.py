@@ -164,3 +164,19 @@ def repaired(text, entity, start, end, reach: int = 80) -> F.Column:
     low = F.greatest(start - reach, F.lit(0))
     near = F.instr(F.substr(text, low + 1, n + 2 * reach), entity)
     return F.when((at(start, end - start) == entity) | (at(start, end - start + 1) == entity), start).when((start > 0) & (at(start - 1, n) == entity), start - 1).when(near > 0, low + near - 1)
+
+
+def threshold_sweep(pred: DataFrame, gold: DataFrame, keys: list[str], thresholds: list[float], by: list[str], score: str = "score") -> DataFrame:
+    """(threshold, scope, the columns of ``by``, tp, fp, fn, precision, recall, f1) of strict matches on ``keys``, whose first
+    names the text: over all texts (scope ``overall``) and per group of ``by``, all thresholds in one pass. A text has the
+    group of its smallest row; predictions without a score count as zero."""
+    text = keys[0]
+    facts = pred.select(text, *by).union(gold.select(text, *by)).groupBy(text).agg(F.min(F.struct(*by)).alias("_by"))
+    levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    p = pred.select(*keys, F.coalesce(F.col(score), F.lit(0.0)).alias("_s"), levels).where(F.col("_s") >= F.col("threshold")).select("threshold", *keys).distinct().withColumn("_p", F.lit(True))
+    g = gold.select(*keys, levels).distinct().withColumn("_g", F.lit(True))
+    both = p.join(g, ["threshold", *keys], "full").join(facts, text)
+    scope = lambda name, own: F.struct(F.lit(name).alias("scope"), *[(F.col(f"_by.{c}") if own else F.lit(None).cast("string")).alias(c) for c in by])
+    rows = both.select("threshold", "_p", "_g", F.explode(F.array(scope("overall", False), scope("_".join(by), True))).alias("x")).select("threshold", "_p", "_g", "x.*")
+    in_p, in_g = F.col("_p").isNotNull(), F.col("_g").isNotNull()
+    return scored(rows.groupBy("threshold", "scope", *by).agg(F.count_if(in_p & in_g).alias("tp"), F.count_if(in_p & ~in_g).alias("fp"), F.count_if(in_g & ~in_p).alias("fn")))

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archipel.plans import archive, search
+from archipel.plans import archive, knowledge, search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return search.QUERIES | archive.QUERIES
+    return search.QUERIES | archive.QUERIES | knowledge.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return search.SQL | archive.SQL
+    return search.SQL | archive.SQL | knowledge.SQL

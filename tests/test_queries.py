@@ -25,8 +25,8 @@ def plain(df: pd.DataFrame) -> pd.DataFrame:
     out = pd.DataFrame()
     for k in sorted(df.columns):
         col = df[k]
-        if col.dtype.kind == "f":
-            col = col.astype(float).round(5)
+        if col.dtype.kind in "iuf":
+            col = col.map(lambda x: None if pd.isna(x) else round(float(x), 5)).astype(object)
         elif col.dtype == object:
             col = col.map(lambda x: None if x is None or x != x else round(float(x), 5) if isinstance(x, float) else str(x))
         out[k] = col.astype(str)
