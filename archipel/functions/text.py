@@ -281,7 +281,8 @@ def unmasked(c: Column) -> Column:
 
 
 def whole_json(c: Column) -> Column:
-    """A JSON object: the whole text, else what lies between its first and last brace; null if neither parses."""
+    """A JSON object: the whole text, else what lies between its first and last brace; null if neither parses. Spark's
+    parser stops at the end of the first value, so further text after an object does not make it null."""
     parsed = F.coalesce(F.try_parse_json(c), F.try_parse_json(F.regexp_extract(c, r"(?s)\{.*\}", 0)))
     return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
 

@@ -53,8 +53,8 @@ def greedy_match(pred: DataFrame, gold: DataFrame, group: str, labelled: bool =
 
     Candidate pairs come from a join on the group; only groups that have both sides reach the greedy step.
     """
-    p = pred.select(group, F.struct("start_char", "end_char", "label").alias("s")).groupBy(group).agg(F.sort_array(F.collect_set("s")).alias("pred"))
-    g = gold.select(group, F.struct("start_char", "end_char", "label").alias("s")).groupBy(group).agg(F.sort_array(F.collect_set("s")).alias("gold"))
+    p = pred.select(group, F.struct("start_char", "end_char", "label").alias("s")).groupBy(group).agg(F.sort_array(F.collect_set("s")).alias("_pred"))
+    g = gold.select(group, F.struct("start_char", "end_char", "label").alias("s")).groupBy(group).agg(F.sort_array(F.collect_set("s")).alias("_gold"))
 
     def match(pred_: pd.Series, gold_: pd.Series) -> pd.Series:
         out = []
@@ -72,9 +72,9 @@ def greedy_match(pred: DataFrame, gold: DataFrame, group: str, labelled: bool =
     fn = F.pandas_udf(match, "bigint")
     both = p.join(g, group, "full")
     none = F.array().cast("array<struct<start_char:int,end_char:int,label:string>>")
-    hits = fn(F.coalesce("pred", none), F.coalesce("gold", none))
+    hits = fn(F.coalesce("_pred", none), F.coalesce("_gold", none))
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    return both.select(group, hits.alias("tp"), (size("pred") - hits).alias("fp"), (size("gold") - hits).alias("fn"))
+    return both.select(group, hits.alias("tp"), (size("_pred") - hits).alias("fp"), (size("_gold") - hits).alias("fn"))
 
 
 def mismatches(pred: DataFrame, gold: DataFrame, group: str) -> DataFrame:
@@ -117,8 +117,8 @@ def mismatches(pred: DataFrame, gold: DataFrame, group: str) -> DataFrame:
 
     fn = F.pandas_udf(match, "array<struct<kind:string,label:string,gold_start:int,gold_end:int,predicted_start:int,predicted_end:int>>")
     none = F.array().cast("array<struct<s:int,e:int,l:string>>")
-    both = listed(pred, "p").join(listed(gold, "g"), group, "full")
-    return both.select(group, F.explode(fn(F.coalesce("p", none), F.coalesce("g", none))).alias("m")).select(group, "m.*")
+    both = listed(pred, "_p").join(listed(gold, "_g"), group, "full")
+    return both.select(group, F.explode(fn(F.coalesce("_p", none), F.coalesce("_g", none))).alias("m")).select(group, "m.*")
 
 
 def best_target(pred: DataFrame, gold: DataFrame, group: str, key: str) -> DataFrame:
