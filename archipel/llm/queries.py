@@ -99,8 +99,12 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return homoglyphs.canonical(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return homoglyphs.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_defects, p2_found, p2_consensus, p2_judges, p2_agreement, p3_found, p3_masked, p4_found, p4_repaired, p5_found, p6_pieces, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_canonical)
+    own = (p1_found, p1_defects, p2_found, p2_consensus, p2_judges, p2_agreement, p3_found, p3_masked, p4_found, p4_repaired, p5_found, p6_pieces, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_canonical, p10_classes)
     return {f.__name__: f for f in own}
 
 

@@ -455,6 +455,10 @@ def test_forms():
     for a, b in (("cafe", "café"), ("A", "a"), ("10²", "102"), ("①", "1"), ("½", "1/2"), ("👨‍🌾", "👨🌾"), ("a b", "ab")):
         assert t(a) != t(b)
     assert t("Привет, он рад.") == "Привет, он рад." and t("Пpивeт, oн paд.") == "Привет, он рад."
+    for a, b in (("PAYPAL", "РАУРАL"), ("PAYPAL now", "РАYРАL now"), ("OPEN", "ՕPEN"), ("Welcome HOME", "Welcome ᎻOᎷE".replace("Ꮇ", "M")), ("STOP here", "ꓢꓔꓳꓑ here"), ("bank", "bɑnk"), ("bank", "𝐛𝐚𝐧𝐤"), ("café", "cafe\u200b\u0301"), ("ﬁ", "ﬁ\u2060")):
+        assert t(a) == t(b), (a, b)
+    assert t("Утро, Ереван") == "Утро, Ереван" and t("Ελλάδα και Όλα") == "Ελλάδα και Όλα" and t("Երեվան Օր") == "Երեվան Օր" and t("𝟏") != "1" and t("ℝ") != "R"
+    assert t("a\r\nb\u2028c\u00a0d\u3000e") == "a\nb\nc d e"
     assert t("ｶﾞｷﾞ") == "ガギ" and t(None) is None and t("") == ""
     rng = random.Random(9)
     pool = [chr(c) for c in (*range(32, 127), *range(0xA0, 0x250), *range(0x370, 0x530), 0x301, 0x308, 0x200B, 0x200D, 0x3000, *range(0xFF01, 0xFFA0), 0x1F468)]
@@ -468,4 +472,6 @@ def test_alike_pairs(spark):
     got = {tuple(r) for r in homoglyphs.alike_pairs(frame(spark, DOC, *docs)).collect()}
     assert got >= {(1, 2), (2, 3), (2, 4), (1, 4), (3, 4), (8, 9)} and not any(5 in p or 6 in p for p in got)
     assert homoglyphs.alike_pairs(frame(spark, DOC)).count() == 0
+    classes = {r["doc_id"]: (r["class_id"], r["n_alike"]) for r in homoglyphs.classes(frame(spark, DOC, *docs)).collect()}
+    assert classes == {1: (1, 2), 2: (1, 3), 3: (1, 2), 4: (1, 3), 5: (5, 0), 7: (7, 0), 8: (8, 1), 9: (8, 1)}
     assert homoglyphs.canonical(frame(spark, DOC, (1, "x" * 200_000 + "​"))).head()["canonical_text"] == "x" * 200_000
