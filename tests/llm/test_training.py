@@ -23,10 +23,11 @@ def frame(spark, schema, *rows):
 # problem 1
 Q, E = "Why did the village clinic audit forty thousand seedlings?", "The village clinic audited forty thousand seedlings because the deadline could not be moved."
 GOOD = '{"relevance_score": 2, "relevance_label": "highly_relevant", "contains_expected_information": true, "missing_information": "Everything.", "supporting_evidence": "", "rationale": "The chunk explains what the clinic did but leaves out the reason."}'
+LINES = "Relevance score: 2\nRelevance label: related\nRationale: The chunk and this material explain what the clinic did but leave out the reason."
 CASES = [
     (GOOD, None), ('{"relevance_score": 3}', None), ("Score: 3", None), ("3", None),
     (None, "empty"), ("", "empty"), ("...", "empty"), ("<|endoftext|>", "empty"), ("​", "empty"), ('{"relevance_score": null, "rationale": ""}', "empty"),
-    (GOOD[:150], "truncated"), ("Relevance score: 3\nRelevance label: related\nRat", "truncated"),
+    (GOOD[:150], "truncated"), ("Relevance score: 3\nRelevance label: related\nRationale: The chunk explains what the cli", "truncated"),
     ("I'm sorry, but I can't assign a score here.", "refusal"), ("Unfortunately my guidelines do not permit me to rate this material", "refusal"),
     (Q, "copy"), (Q.upper(), "copy"), (E, "copy"), ("Query: " + Q, "copy"),
     ("Der Text behandelt ein anderes Thema, deshalb passt er nicht zur Anfrage.", "other_language"), ("評価は2です。理由が述べられていません。", "other_language"),
@@ -36,6 +37,7 @@ CASES = [
 
 def test_defects(spark):
     good = [(i, "q", "c", Q, E, "j", "completed", None, GOOD.replace("2,", f"{i % 4},", 1)) for i in range(100, 400)]
+    good += [(i, "q", "c", Q, E, "j", "completed", None, LINES if i % 3 else LINES[:-1]) for i in range(400, 700)]
     rows = [(i, "q", "c", Q, E, "j", "failed", "x", r) for i, (r, _) in enumerate(CASES)]
     df = frame(spark, JUDGMENT, *good, *rows, rows[4], (None, "q", "c", Q, E, "j", "failed", None, ""))
     found = {}
@@ -54,7 +56,33 @@ def test_label_model_separates():
     counts = {"yyy": 30, "yy0": 5, "nnn": 900, "nn0": 60, "ynn": 5}
     p = responses.label_model(counts)
     assert p["yyy"] > 0.99 and p["yy0"] > 0.9 and p["nnn"] < 0.01 and p["ynn"] < 0.5
-    assert 0 < responses.cutoff(p, counts) < 1 and responses.label_model({}) == {}
+    assert 0 < responses.cutoff(p, counts, [])[0] < 1 and responses.label_model({}) == {}
+
+
+def test_label_model_beats_a_majority():
+    """A function that is often wrong, two that are not: the model learns whom to trust, a majority can't."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(20_000) < 0.05
+    rates = ((0.9, 0.01), (0.7, 0.01), (0.6, 0.3), (0.6, 0.3), (0.6, 0.3))  # votes for, on defective and on fine records
+    votes = np.stack([rng.random(len(truth)) < np.where(truth, a, b) for a, b in rates], 1)
+    patterns = ["".join("y" if v else "n" for v in row) for row in votes]
+    counts = {x: patterns.count(x) for x in set(patterns)}
+    cases = [x for x, t in zip(patterns, truth) if t][:200]
+    p = responses.label_model(counts, cases[::2])
+    at = responses.cutoff(p, counts, cases[1::2])[0]
+
+    def f1(flag):
+        got = np.array([flag(x) for x in patterns])
+        return 2 * (got & truth).sum() / (got.sum() + truth.sum())
+
+    assert f1(lambda x: p[x] >= at) > f1(responses.majority) + 0.3
+
+
+def test_defects_may_be_several(spark):
+    foreign = "Der Text behandelt ein anderes Thema und nennt keinen Grund, deshalb passt er nicht zu der"
+    rows = [(i, "q", "c", Q, E, "j", "completed", None, GOOD.replace("2,", f"{i % 4},", 1)) for i in range(100, 400)]
+    df = frame(spark, JUDGMENT, *rows, (1, "q", "c", Q, E, "j", "completed", None, '{"relevance_score": 1, "rationale": "' + foreign))
+    assert {r["defect_type"] for r in responses.defects(df).where("record_id = 1").collect()} == {"truncated", "other_language"}
 
 
 # problem 2
