@@ -27,11 +27,11 @@ LINES = "Relevance score: 2\nRelevance label: related\nRationale: The chunk and
 CASES = [
     (GOOD, None), ('{"relevance_score": 3}', None), ("Score: 3", None), ("3", None),
     (None, "empty"), ("", "empty"), ("...", "empty"), ("<|endoftext|>", "empty"), ("​", "empty"), ('{"relevance_score": null, "rationale": ""}', "empty"),
-    (GOOD[:150], "truncated"), ("Relevance score: 3\nRelevance label: related\nRationale: The chunk explains what the cli", "truncated"),
-    ("I'm sorry, but I can't assign a score here.", "refusal"), ("Unfortunately my guidelines do not permit me to rate this material", "refusal"),
+    *((GOOD[:k], "truncated") for k in range(100, 220, 10)), ("Relevance score: 3\nRelevance label: related\nRationale: The chunk explains what the cli", "truncated"),
+    ("I'm sorry, but I can't assign a score here.", "refusal"), ("Unfortunately my guidelines do not permit me to rate this material.", "refusal"),
     (Q, "copy"), (Q.upper(), "copy"), (E, "copy"), ("Query: " + Q, "copy"),
     ("Der Text behandelt ein anderes Thema, deshalb passt er nicht zur Anfrage.", "other_language"), ("評価は2です。理由が述べられていません。", "other_language"),
-    ("An official says she is unable to help with the survey; still, the answer is given word for word in the chunk.", None),
+    (GOOD.replace("The chunk explains", "An official says she is unable to help with the survey; still, the chunk explains"), None),
 ]
 
 
@@ -43,7 +43,7 @@ def test_defects(spark):
     found = {}
     for r in responses.defects(df).collect():
         found.setdefault(r["record_id"], []).append(r["defect_type"])
-    assert found == {i: [d] for i, (_, d) in enumerate(CASES) if d}
+    assert found == {i: [d] for i, (_, d) in enumerate(CASES) if d}, [(CASES[i], found.get(i)) for i in range(len(CASES)) if found.get(i) != ([CASES[i][1]] if CASES[i][1] else None)]
 
 
 def test_defects_edges(spark):
