@@ -3,12 +3,14 @@
 Patterns propose what could be personal: e-mail addresses in all their written-out forms, runs of digits, house numbers
 with streets, and words that look like parts of names by how the corpus writes them (rarely in small letters, seldom
 after prepositions of place). These are the field's nodes. Chain factors tie neighbouring nodes; skip factors tie
-nodes far apart whose words are the same, so a name plain in one place is found in the others. All nodes with one word
-share one factor through a hub, which keeps a word that occurs ten thousand times linear. Inference is loopy belief
-propagation, vectorised over all nodes of an Arrow batch.
-
-Weights start from stated values and are trained by gradient steps on a bounded sample of chunks (``TRAIN_CHUNKS``)
-whose older, incomplete ``sensitive_entities`` hold; what the older masker left out counts as unknown, not as nothing.
+nodes of one document whose words are equal or similar, however far apart, so a name plain in one place is found in the
+others. All nodes of a document with one word share one factor through a hub, which keeps a word that occurs ten thousand
+times linear. Inference is loopy belief propagation, vectorised over all nodes of a batch; between the texts of a document
+the hubs' messages are sums that Spark aggregates.
+
+Weights of features and of the three kinds of factors start from stated values and are trained by gradient steps on a
+bounded sample of chunks (``TRAIN_CHUNKS``) whose older, incomplete ``sensitive_entities`` hold; what the older masker left
+out counts as unknown or, where the corpus speaks against it, as doubtful.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from archipel.session import checkpoint, spread
 LABELS = ("O", "PERSON_NAME", "EMAIL", "PHONE", "ID_NUMBER", "STREET_ADDRESS")
 INDEX = {x: i for i, x in enumerate(LABELS)}
 TRAIN_CHUNKS, EPOCHS, RATE, PULL, ROUNDS, SHARE, FREQUENT = 500, 20, 0.05, 0.02, 4, 1e-6, 2e-5
+NEVER, DOUBT = 2e-5, 0.3  # share of all words from which a word that is recorded in no name is none; weight of such labels
 
 # Words about names, numbers and streets.
 TITLES = set("mr mrs ms miss mx dr prof professor doctor sen senator rep representative judge justice gov governor capt captain sgt sergeant lt lieutenant col colonel gen general rev reverend sir dame lord lady hon nurse officer inspector detective sister brother father pastor president chairman chairwoman secretary minister mayor coach chief deputy herr frau monsieur madame señor señora".split())
@@ -36,10 +39,10 @@ PARTICLES = set("de da do dos das del della di du la le van von der den ter ten
 ROLES = set("host anchor guest reporter caller moderator analyst speaker unidentified narrator interviewer announcer correspondent producer commentator operator man woman male female audience member voice question answer q a".split())
 ORGANISATIONS = set("clinic company foods corporation corp inc ltd llc limited hospital university college school institute institution laboratory laboratories network group association society foundation department agency bureau council committee commission ministry board bank trust museum library gallery theater theatre church cathedral center centre club union league party press news times gazette herald journal post magazine studio studios productions records hotel inn restaurant cafe café bridge tower park square station airport stadium arena hall house building office district county quarry mill mine farm dairy brewery bakery cooperative partners brothers sons industries systems services holdings prize award cup festival act law report handbook review price list catalogue minutes memorandum survey results holdings report annual quarterly internal inspection street avenue road lane drive court blvd boulevard river lake mount mountain valley island bay ocean".split())
 LEFT_NAME = ("my name is", "name is", "spoke with", "us is", "identified as", "mail for", "should go to", "neighbor,", "neighbour,", "signed by", "the name", "the hearing", "prepared by", "attention", "name:", "contact", "cc:", "applicant", "written by", "interview with", "talked to", "met with", "called", "named", "i am", "i'm", "welcome,", "thank you,", "thanks,", "dear", "sincerely,", "attn", "from:", "to:", "patient", "witness,", "by")
-RIGHT_NAME = ("told the", "still arrives", "earlier today", "walked home", ", who", ", left", "left the number", "for internal", ", good to", "with ssn", "with social", "with passport", "with national", "with taxpayer", "with resident", "with driver", "tel.", "and i am", "is a", "said", "says", "( ")
+RIGHT_NAME = ("told", "said", "says", "wrote", "called", "replied", "added", ", who", "tel.", "phone", "with ssn", "with social", "with passport", "with national", "with taxpayer", "with resident", "with driver", "and i am", "is a", "( ")
 LEFT_RE = re.compile(r"(?:^|[^a-z])(" + "|".join(re.escape(x) for x in sorted(LEFT_NAME, key=len, reverse=True)) + r")\s*$")
 PHONE_LEFT = re.compile(r"(?:phone|tel|telephone|fax|call|called|number|hotline is|reach me on|contact|mobile|cell|dial|text|line|and|at|gave)\W*$", re.I)
-PHONE_RIGHT = re.compile(r"^\W*(?:as the contact|day or night|any time|with the clerk|,? and the address|,? or by email|ext|x\d)", re.I)
+PHONE_RIGHT = re.compile(r"^\W*(?:as the contact|any time|day or night|,? or by e?-?mail|ext|x\d)", re.I)
 ID_LEFT = re.compile(r"(?:\bssn|social security(?: number| no)?|passport(?: no| number)?|licen[sc]e(?: no| number)?|insurance number|taxpayer (?:number|id)|tax (?:id|number)|resident card|identity card|id card|national id|national identity number|nin|nino|personal number|id(?: no| number)?|card)\W{0,4}$", re.I)
 OTHER_LEFT = re.compile(r"(?:invoice|part number|order|ref|reference|catalog(?:ue)? item|item|lot|batch|docket|form|tracking number|case|flight|room|page|no\.? of|serial|account|bill|model|version|rev|channel|score was|between|and|opened in|segment|vol)\W{0,5}(?:no\W*|number\W*)?$", re.I)
 
@@ -87,8 +90,9 @@ class Words:
     """How the corpus writes words: sets of ordinary words, of names of places, of words seen in names; words so
     frequent that they are no part of anybody's name count as ordinary."""
 
-    def __init__(self, ordinary: set[str], places: set[str], names: set[str], frequent: set[str]) -> None:
+    def __init__(self, ordinary: set[str], places: set[str], names: set[str], frequent: set[str], often: set[str] = frozenset()) -> None:
         self.ordinary, self.places, self.names = ordinary | (frequent - names - places), places, names
+        self.never = often - names
 
 
 def trimmed_address(text: str, s: int, e: int) -> int:
@@ -161,7 +165,7 @@ def proposals(text: str, words: Words) -> list[tuple]:
                 continue
             feats += ["phone_shape"] * bool(PHONE_SHAPES.match(shape) or shape.startswith("0099")) + ["id_shape"] * bool(ID_SHAPES.match(shape.upper()))
             feats += ["phone_left"] * bool(PHONE_LEFT.search(left)) + ["phone_right"] * bool(PHONE_RIGHT.match(right)) + ["id_left"] * bool(ID_LEFT.search(left)) + ["other_left"] * bool(OTHER_LEFT.search(left))
-            feats += ["extension"] * bool(re.search(r"(?i)(?:ext|x)", raw)) + ["plus"] * (raw[0] == "+") + ["id_right"] * bool(re.match(r"(?i)\W*(?:beside|before payment|over the loud|in plain sight|, declined|declined)", right))
+            feats += ["extension"] * bool(re.search(r"(?i)(?:ext|x)", raw)) + ["plus"] * (raw[0] == "+")
             nodes.append((s, e, "digits", feats, None, None))
             take(s, e)
     if HINT_SPOKEN.search(low):
@@ -305,14 +309,14 @@ def run_nodes(view: str, words: Words, tokens: list, i: int, j: int, run: int, l
 START = {
     "email": {"EMAIL": 3.0}, "email_at": {"EMAIL": 3.0}, "email_mark": {"EMAIL": 2.5}, "email_words": {"EMAIL": 1.5},
     "address": {"STREET_ADDRESS": 2.0}, "address_left": {"STREET_ADDRESS": 3.0},
-    "digits": {"O": 1.0}, "phone_shape": {"PHONE": 2.0}, "id_shape": {"ID_NUMBER": 1.0}, "phone_left": {"PHONE": 2.0}, "phone_right": {"PHONE": 2.0}, "id_left": {"ID_NUMBER": 4.5}, "id_right": {"ID_NUMBER": 1.0},
+    "digits": {"O": 1.0}, "phone_shape": {"PHONE": 2.0}, "id_shape": {"ID_NUMBER": 1.0}, "phone_left": {"PHONE": 2.0}, "phone_right": {"PHONE": 2.0}, "id_left": {"ID_NUMBER": 4.5},
     "other_left": {"O": 3.0}, "extension": {"PHONE": 2.0}, "plus": {"PHONE": 1.5}, "spoken": {"PHONE": 3.0}, "n6": {"O": 1.5}, "n9": {"ID_NUMBER": 0.3},
     "k_rare": {"PERSON_NAME": -1.0}, "k_ordinary": {"PERSON_NAME": -2.0}, "k_initial": {"PERSON_NAME": -0.5}, "k_particle": {"PERSON_NAME": -0.3},
     "speaker": {"PERSON_NAME": 3.0}, "left_name": {"PERSON_NAME": 3.0}, "left_by": {"PERSON_NAME": 1.0}, "left_list": {"PERSON_NAME": 0.7}, "title": {"PERSON_NAME": 3.5}, "right_name": {"PERSON_NAME": 2.5}, "right_mail": {"PERSON_NAME": 2.0},
     "organisation": {"PERSON_NAME": -6.0}, "after_the": {"PERSON_NAME": -2.5}, "after_place": {"PERSON_NAME": -1.0}, "after_number": {"PERSON_NAME": -2.0}, "name_word": {"PERSON_NAME": 1.5}, "name_words": {"PERSON_NAME": 3.0}, "name_own": {"PERSON_NAME": 0.5},
     "two_rare": {"PERSON_NAME": 1.5}, "small_letters": {"PERSON_NAME": -2.5}, "all_places": {"PERSON_NAME": -3.5}, "a_place": {"PERSON_NAME": -0.5}, "place": {"PERSON_NAME": -1.0}, "hyphened": {"PERSON_NAME": 0.3}, "noisy": {"PERSON_NAME": -2.5},
 }
-CHAIN, SKIP = 1.5, 1.2  # agreement of neighbours in a run, of equal words far apart
+FACTORS = {"chain": 1.5, "equal": 1.2, "similar": 1.1}  # agreement of neighbours in a run, of equal and of similar words
 PROPOSED = {"email": ("O", "EMAIL"), "address": ("O", "STREET_ADDRESS"), "digits": ("O", "PHONE", "ID_NUMBER"), "name": ("O", "PERSON_NAME")}
 
 
@@ -344,91 +348,98 @@ def lse(x: np.ndarray) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(-1, keepdims=True)))[..., 0]
 
 
-def graph(batches_nodes: list[list[tuple]]) -> tuple[np.ndarray, np.ndarray]:
-    """Over the nodes of all texts in a row: the runs they belong to, and the hubs of equal words (-1 for none)."""
-    runs, hubs, base = [], [], 0
-    names: dict[tuple, int] = {}
-    count: Counter = Counter()
-    at: dict[tuple, int] = {}
-    for d, nodes in enumerate(batches_nodes):
-        for k, node in enumerate(nodes):
-            runs.append(at.setdefault((d, node[5] if node[5] is not None else -k - 1), len(at)))
-            key = (d, node[4]) if node[4] is not None else None
-            hubs.append(key)
-            if key:
-                count[key] += 1
-        base += len(nodes)
-    ids = np.array([names.setdefault(h, len(names)) if h and count[h] > 1 else -1 for h in hubs], int)
-    return np.array(runs, int), ids
-
-
-def beliefs(u: np.ndarray, runs: np.ndarray, hubs: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy belief propagation: exact forward and backward passes along every run, messages to and from the hubs
-    between the rounds. Returns the marginals."""
+def skeleton(word: str) -> str | None:
+    """What similar spellings of a word share: its first letter and its consonants, doubled ones once."""
+    rest = [ch for ch in word[1:] if ch not in "aeiouyh'"]
+    kept = word[0] + "".join(ch for i, ch in enumerate(rest) if i == 0 or ch != rest[i - 1])
+    return "~" + kept if len(kept) >= 4 else None
+
+
+def graph(documents: list[list[list[tuple]]]) -> tuple[np.ndarray, list[list[str | None]], np.ndarray]:
+    """Over the nodes of all texts of all documents in a row: the runs they belong to, their two keys (the word, and its
+    skeleton), and the documents they are in."""
+    runs, keys, docs, at = [], [[], []], [], {}
+    for d, texts in enumerate(documents):
+        for t, nodes in enumerate(texts):
+            for k, node in enumerate(nodes):
+                runs.append(at.setdefault((d, t, node[5] if node[5] is not None else -k - 1), len(at)))
+                keys[0].append(node[4])
+                keys[1].append(skeleton(node[4]) if node[4] else None)
+                docs.append(d)
+    return np.array(runs, int), keys, np.array(docs, int)
+
+
+def hubs_of(keys: list[str | None], docs: np.ndarray, far: dict[tuple[int, str], float]) -> tuple[np.ndarray, np.ndarray, dict]:
+    """A hub for every key that a document has more than once, here or in a text elsewhere: its number for each node (-1 for
+    none), and what the texts elsewhere say to it, as log-odds of a name."""
+    count = Counter((d, k) for d, k in zip(docs.tolist(), keys) if k)
+    names: dict[tuple[int, str], int] = {}
+    ids = np.array([names.setdefault((d, k), len(names)) if k and (count[d, k] > 1 or (d, k) in far) else -1 for d, k in zip(docs.tolist(), keys)], int)
+    outside = np.zeros(len(names))
+    for key, i in names.items():
+        outside[i] = far.get(key, 0.0)
+    return ids, outside, names
+
+
+def beliefs(u: np.ndarray, runs: np.ndarray, skips: list[tuple[np.ndarray, np.ndarray, float]], chain: float, rounds: int = ROUNDS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Loopy belief propagation: exact forward and backward passes along every run, messages to and from the hubs of each kind
+    of skip factor between the rounds. A kind is (hub of every node, what is said to each hub from elsewhere, weight).
+    Returns the marginals and, per kind, what every node says to its hub."""
     n, L = u.shape
+    said = [np.zeros(n) for _ in skips]
     if not n:
-        return u
-    same = np.eye(L)
+        return u, said
+    same, name = np.eye(L), INDEX["PERSON_NAME"]
     order = np.arange(n)
     start = np.append(True, runs[1:] != runs[:-1])
     place = order - np.maximum.accumulate(np.where(start, order, 0))  # position in the run
     length = place.max() + 1
-    to_node = np.zeros_like(u)  # hub -> node
-    member = np.flatnonzero(hubs >= 0)
-    hub_of = hubs[member]
-    n_hubs = hub_of.max() + 1 if len(member) else 0
+    members = [np.flatnonzero(h >= 0) for h, _, _ in skips]
+    to_node = [np.zeros_like(u) for _ in skips]  # hub -> node
     b = u
-    for r in range(rounds if len(member) else 1):
-        local = u + to_node
+    for _ in range(rounds if any(len(m) for m in members) else 1):
+        local = u + sum(to_node) if skips else u
         f, g = np.zeros_like(u), np.zeros_like(u)
         for p in range(1, length):
             at = np.flatnonzero(place == p)
             prev = local[at - 1] + f[at - 1]
-            f[at] = lse(prev[:, None, :] + CHAIN * same[None])
+            f[at] = lse(prev[:, None, :] + chain * same[None])
             f[at] -= f[at].max(1, keepdims=True)
         for p in range(length - 2, -1, -1):
             at = np.flatnonzero((place == p) & np.append(~start[1:], False))
             nxt = local[at + 1] + g[at + 1]
-            g[at] = lse(nxt[:, None, :] + CHAIN * same[None])
+            g[at] = lse(nxt[:, None, :] + chain * same[None])
             g[at] -= g[at].max(1, keepdims=True)
         b = local + f + g
-        if not len(member):
-            break
-        cavity = b[member] - to_node[member]
-        up = lse(cavity[:, None, :] + SKIP * same[None])
-        up -= up.max(1, keepdims=True)
-        total = np.zeros((n_hubs, L))
-        np.add.at(total, hub_of, up)
-        down = lse((total[hub_of] - up)[:, None, :] + SKIP * same[None])
-        to_node[member] = down - down.max(1, keepdims=True)
+        for k, ((hub, outside, weight), member) in enumerate(zip(skips, members)):
+            if not len(member):
+                continue
+            cavity = b[member] - to_node[k][member]
+            up = lse(cavity[:, None, :] + weight * same[None])
+            up -= up.max(1, keepdims=True)
+            said[k][member] = up[:, name] - up[:, 0]
+            total = np.zeros((len(outside), L))
+            total[:, name] = outside
+            np.add.at(total, hub[member], up)
+            down = lse((total[hub[member]] - up)[:, None, :] + weight * same[None])
+            to_node[k][member] = down - down.max(1, keepdims=True)
     p = np.exp(b - b.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+    return p / p.sum(1, keepdims=True), said
 
 
-def spans(view: str, nodes: list[tuple], p: np.ndarray) -> list[tuple[int, int, str]]:
-    """Decided spans: neighbouring name nodes of a run are one name."""
+def spans(nodes: list[tuple], p: np.ndarray) -> list[tuple[int, int, str]]:
+    """Decided spans of (start, end, kind, -, -, run): neighbouring name nodes of a run are one name."""
     best = p.argmax(1) if len(nodes) else []
     out: list[tuple[int, int, str]] = []
     last = None
     for node, k in zip(nodes, best):
         label = LABELS[k]
-        if label == "O":
-            last = None
-            continue
-        s, e = node[0], node[1]
-        if label == "PERSON_NAME":
-            if last is not None and last == node[5] and out[-1][2] == label:
-                out[-1] = (out[-1][0], e, label)
-            else:
-                out.append((s, e, label))
-            last = node[5]
-        else:
-            out.append((s, e, label))
-            last = None
-    merged: list[tuple[int, int, str]] = []
-    for s, e, label in out:
-        merged.append((s, e, label))
-    return [x for x in merged if x[2] != "PERSON_NAME" or any(ch.isalpha() for ch in view[x[0] : x[1]]) and x[1] - x[0] > 2]
+        if label == "PERSON_NAME" and last is not None and last == node[5]:
+            out[-1] = (out[-1][0], node[1], label)
+        elif label != "O":
+            out.append((node[0], node[1], label))
+        last = node[5] if label == "PERSON_NAME" else None
+    return [x for x in out if x[2] != "PERSON_NAME" or x[1] - x[0] > 2]
 
 
 def masked(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -439,44 +450,72 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def train(sample: pd.DataFrame, words: Words) -> dict[str, np.ndarray]:
-    """Gradient steps on nodes whose label is known: those the older masker recorded rightly, and numbers and words
-    whose surroundings rule personal data out. The pull keeps weights near their start where evidence is thin."""
-    weights = start_weights()
+def train(sample: pd.DataFrame, words: Words) -> tuple[dict[str, np.ndarray], dict[str, float]]:
+    """Weights of features and factors, by gradient steps on nodes whose label is known: how far the field with the known
+    labels held agrees with itself more than the free field, for every feature and every pair that a factor ties.
+
+    Known are the nodes the older masker recorded rightly. Known in doubt, as it left out much, are numbers it left alone in
+    a text in which it recorded one, and words that the corpus has often and no recorded name anywhere. None of these labels
+    is read off the surroundings. The pull keeps weights near their start where evidence is thin.
+    """
+    weights, factors = start_weights(), dict(FACTORS)
     init = {f: w.copy() for f, w in weights.items()}
-    texts, labels = [], []
-    for text, entities in zip(sample["raw_text"], sample["sensitive_entities"]):
+    documents: dict = {}
+    for i, (doc, text, entities) in enumerate(zip(sample["document_id"], sample["raw_text"], sample["sensitive_entities"])):
         nodes = proposals(text, words)
         marks = [(e["start"], e["end"], e["entity_type"]) for e in (entities if entities is not None else []) if e["entity_type"] in INDEX and e["start"] is not None and e["text"] and text[e["start"] : e["end"]] == e["text"]]
+        numbers = any(t in ("PHONE", "ID_NUMBER") for _, _, t in marks)
         known = []
         for node in nodes:
-            hit = next((t for a, b, t in marks if a <= node[0] and node[1] <= b + 2 and t in PROPOSED[node[2]]), None)
-            known.append(INDEX[hit] if hit else 0 if {"organisation", "after_the"} & {*node[3]} or "other_left" in node[3] and "id_left" not in node[3] and "phone_left" not in node[3] else -1)
-        if any(k >= 0 for k in known):
-            texts.append(nodes)
-            labels += known
-    if not texts:
-        return weights
-    y = np.array(labels)
-    runs, hubs = graph(texts)
-    flat = [node for nodes in texts for node in nodes]
+            hit = next((t for x, y, t in marks if x <= node[0] and node[1] <= y + 2 and t in PROPOSED[node[2]]), None)
+            never = node[2] == "digits" and numbers or node[2] == "name" and node[4] in words.never
+            known.append((INDEX[hit], 1.0) if hit else (0, DOUBT) if never else (-1, 0.0))
+        if any(k >= 0 for k, _ in known):
+            documents.setdefault(doc if isinstance(doc, str) else i, []).append((nodes, known))
+    if not documents:
+        return weights, factors
+    texts = [[nodes for nodes, _ in d] for d in documents.values()]
+    flat = [node for d in texts for nodes in d for node in nodes]
+    y, sure = (np.array(x) for x in zip(*[k for d in documents.values() for _, known in d for k in known]))
+    runs, keys, docs = graph(texts)
+    hubs = [hubs_of(k, docs, {})[:2] for k in keys]
+    at = np.flatnonzero(y >= 0)
+    ties = [np.flatnonzero(runs[1:] == runs[:-1])] + [np.flatnonzero(h >= 0) for h, _ in hubs]
+
+    def agreement(p: np.ndarray) -> list[float]:
+        """How likely the two ends of a tie agree, summed: neighbours with each other, members with the mean of their hub."""
+        out = [float((p[ties[0]] * p[ties[0] + 1]).sum())]
+        for (h, outside), member in zip(hubs, ties[1:]):
+            n = np.maximum(np.bincount(h[member], minlength=len(outside)), 1)[:, None]
+            mean = np.zeros((len(outside), p.shape[1]))
+            np.add.at(mean, h[member], p[member])
+            out.append(float((p[member] * (mean / n)[h[member]]).sum()))
+        return out
+
     for _ in range(EPOCHS):
         u = unary(flat, weights)
         clamp = u.copy()
-        at = np.flatnonzero(y >= 0)
-        clamp[at] = -1e6
-        clamp[at, y[at]] = 0.0
-        gap = beliefs(clamp, runs, hubs) - beliefs(u, runs, hubs)
+        hold = np.full((len(at), len(LABELS)), -1e6)
+        hold[np.arange(len(at)), y[at]] = 0.0
+        clamp[at] = np.where(sure[at, None] == 1, hold, clamp[at])
+        skips = [(h, o, factors[name]) for (h, o), name in zip(hubs, ("equal", "similar"))]
+        free, held = beliefs(u, runs, skips, factors["chain"])[0], beliefs(clamp, runs, skips, factors["chain"])[0]
+        target = held[at].copy()
+        target[sure[at] < 1] = np.eye(len(LABELS))[y[at][sure[at] < 1]]
+        gap = (target - free[at]) * sure[at, None]
         steps: dict[str, np.ndarray] = {}
         seen: Counter = Counter()
-        for k in at:
-            for f in flat[k][3]:
+        for k, i in enumerate(at):
+            for f in flat[i][3]:
                 if f in weights:
                     steps[f] = steps.get(f, 0) + gap[k]
                     seen[f] += 1
-        for f, s in steps.items():
-            weights[f] = weights[f] + RATE * s / np.sqrt(seen[f]) - PULL * (weights[f] - init[f])
-    return weights
+        for f, step in steps.items():
+            weights[f] = weights[f] + RATE * step / np.sqrt(seen[f]) - PULL * (weights[f] - init[f])
+        for name, a, b, tie in zip(FACTORS, agreement(held), agreement(free), ties):
+            if len(tie):
+                factors[name] = float(np.clip(factors[name] + RATE * (a - b) / np.sqrt(len(tie)) - PULL * (factors[name] - FACTORS[name]), 0.0, 3.0))
+    return weights, factors
 
 
 def corpus_words(rows: DataFrame, names: set[str]) -> Words:
@@ -493,17 +532,22 @@ def corpus_words(rows: DataFrame, names: set[str]) -> Words:
     ordinary = {r["word"] for r in kept if r["small"] >= 0.4 * r["n"] and r["small"] >= 3}
     frequent = {r["word"] for r in kept if r["n"] >= max(10.0, FREQUENT * total)}
     place = {r["word"] for r in kept if r["p"] and r["p"] >= 0.2 * r["n"] and r["word"] not in ordinary}
-    return Words(ordinary, place, names - place, frequent)
+    often = {r["word"] for r in kept if r["n"] >= max(10.0, NEVER * total)}
+    return Words(ordinary, place, names - place, frequent, often)
 
 
-def detect(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, entities array<struct<start_char, end_char, entity_type, text>>, masked_text), one row per chunk_id.
+def find(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunk_id, found array<struct<start_char, end_char, entity_type>>), and the texts (chunk_id, document_id, raw_text), one
+    row per chunk_id.
 
-    A null or blank text has no entities and masks to itself. Of several texts under one chunk_id the smallest counts.
+    A first pass proposes the nodes of every text, weighs them and passes messages within it. What its words say is summed
+    per document and word, so that a document of any number of chunks, or a word of any number of uses, is an aggregation
+    and never one task; a second, light pass gives every text what the rest of its document says and decides.
     """
     spark = chunks.sparkSession
-    rows = chunks.where("chunk_id is not null").select("chunk_id", "raw_text", "sensitive_entities")
-    texts = checkpoint(spread(rows, "chunk_id").groupBy("chunk_id").agg(F.min("raw_text").alias("raw_text"), F.first("sensitive_entities", ignorenulls=True).alias("sensitive_entities")))
+    rows = chunks.where("chunk_id is not null").select("chunk_id", "document_id", "raw_text", "sensitive_entities")
+    marks = F.min(F.when(F.size("sensitive_entities") > 0, F.struct("raw_text", "sensitive_entities"))).alias("m")
+    texts = checkpoint(spread(rows, "chunk_id").groupBy("chunk_id").agg(F.min("raw_text").alias("raw_text"), F.min("document_id").alias("document_id"), marks).select("chunk_id", "document_id", "raw_text", F.when(F.col("m.raw_text") == F.col("raw_text"), F.col("m.sensitive_entities")).alias("sensitive_entities")))
     # words the older masker saw in names, where they are rarely ordinary
     named = texts.select(F.explode("sensitive_entities").alias("e")).where("e.entity_type = 'PERSON_NAME'").select(F.explode(F.split(F.lower("e.text"), r"[^\p{L}'’]+")).alias("w")).where("length(w) > 2").groupBy("w").agg(F.count("*").alias("n"))
     total = named.agg(F.sum("n")).head()[0] or 0
@@ -512,25 +556,86 @@ def detect(chunks: DataFrame) -> DataFrame:
     labelled = texts.where("raw_text is not null and size(sensitive_entities) > 0").withColumn("_d", F.xxhash64("chunk_id") / F.lit(2.0**64) + 0.5)
     share = min(1.0, 2.0 * TRAIN_CHUNKS / max(1, labelled.count()))  # so tasks send few more rows than are wanted
     labelled = labelled.where(F.col("_d") <= share).orderBy("_d", "chunk_id").limit(TRAIN_CHUNKS).drop("_d").toPandas()
-    weights = train(labelled, words)
-    shared = spark.sparkContext.broadcast((weights, words))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights_, words_ = shared.value
+    weights, factors = train(labelled, words)
+    shared = spark.sparkContext.broadcast((weights, factors, (words.ordinary, words.places, words.names)))
+    KINDS = list(PROPOSED)
+
+    def settled(texts_: list[list[tuple]], u: np.ndarray, far: list[dict[str, float]]) -> tuple[np.ndarray, list[dict[str, float]]]:
+        """Marginals of texts, each a document of its own, and what every text's words say to the rest of its document."""
+        _, factors_, _ = shared.value
+        runs, keys, docs = graph([[nodes] for nodes in texts_])
+        known = {(d, k): x for d, said in enumerate(far) for k, x in said.items()}
+        every = {(d, k) for ks in keys for d, k in zip(docs.tolist(), ks) if k}
+        hubs = [hubs_of(k, docs, {key: known.get(key, 0.0) for key in every}) for k in keys]
+        p, said = beliefs(u, runs, [(h, o, factors_[name]) for (h, o, _), name in zip(hubs, ("equal", "similar"))], factors_["chain"])
+        out: list[dict[str, float]] = [{} for _ in texts_]
+        for ks, x in zip(keys, said):
+            for d, k, v in zip(docs.tolist(), ks, x.tolist()):
+                if k:
+                    out[d][k] = out[d].get(k, 0.0) + v
+        return p, out
+
+    def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights_, _, sets = shared.value
+        words_ = Words(*sets, set())
         for batch in batches:
             for part in range(0, len(batch), 500):
                 piece = batch.iloc[part : part + 500]
-                given = [t or "" for t in piece["raw_text"]]
-                nodes = [proposals(t, words_) for t in given]
-                p = beliefs(unary([x for n in nodes for x in n], weights_), *graph(nodes))
+                nodes = [proposals(t or "", words_) for t in piece["raw_text"]]
+                u = unary([x for n in nodes for x in n], weights_)
+                _, said = settled(nodes, u, [{} for _ in nodes])
+                ends = np.cumsum([len(n) for n in nodes])
+                yield pd.DataFrame({
+                    "chunk_id": piece["chunk_id"].to_numpy(), "document_id": piece["document_id"].to_numpy(),
+                    "nodes": [[{"s": x[0], "e": x[1], "kind": KINDS.index(x[2]), "key": x[4], "run": x[5]} for x in n] for n in nodes],
+                    "u": [u[e - len(n) : e].ravel().tolist() for n, e in zip(nodes, ends)],
+                    "said": [[{"key": k, "x": v} for k, v in d.items()] for d in said],
+                })
+
+    schema = "chunk_id string, document_id string, nodes array<struct<s:int,e:int,kind:int,key:string,run:int>>, u array<double>, said array<struct<key:string,x:double>>"
+    first = checkpoint(texts.select("chunk_id", "document_id", "raw_text").mapInPandas(propose, schema))
+    spoken = first.where("document_id is not null").select("chunk_id", "document_id", F.inline("said"))
+    sums = spoken.groupBy("document_id", "key").agg(F.sum("x").alias("total"), F.count("*").alias("n")).where("n > 1")
+    heard = spoken.join(sums, ["document_id", "key"]).groupBy("chunk_id").agg(F.collect_list(F.struct("key", (F.col("total") - F.col("x")).alias("x"))).alias("heard"))  # words of one text
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in range(0, len(batch), 2000):
+                piece = batch.iloc[part : part + 2000]
+                nodes = [[(x["s"], x["e"], KINDS[x["kind"]], None, x["key"], x["run"]) for x in n] for n in piece["nodes"]]
+                u = np.concatenate([np.asarray(x, float) for x in piece["u"]]).reshape(-1, len(LABELS)) if len(piece) else np.zeros((0, len(LABELS)))
+                far = [{x["key"]: x["x"] for x in h} if h is not None else {} for h in piece["heard"]]
+                p, _ = settled(nodes, u, far)
                 found, at = [], 0
-                for t, n in zip(given, nodes):
-                    found.append(spans(visible(t), n, p[at : at + len(n)]))
+                for n in nodes:
+                    found.append([{"start_char": s, "end_char": e, "entity_type": label} for s, e, label in spans(n, p[at : at + len(n)])])
                     at += len(n)
-                entities = [[{"start_char": s, "end_char": e, "entity_type": label, "text": t[s:e]} for s, e, label in f] for t, f in zip(given, found)]
-                yield pd.DataFrame({"chunk_id": piece["chunk_id"].to_numpy(), "entities": entities, "masked_text": [masked(t, f) if raw is not None else None for t, f, raw in zip(given, found, piece["raw_text"])]})
+                yield pd.DataFrame({"chunk_id": piece["chunk_id"].to_numpy(), "found": found})
+
+    given = first.select("chunk_id", "nodes", "u").join(heard, "chunk_id", "left")
+    return given.mapInPandas(decide, "chunk_id string, found array<struct<start_char:int,end_char:int,entity_type:string>>"), texts.select("chunk_id", "document_id", "raw_text")
+
+
+def detect(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, entities array<struct<start_char, end_char, entity_type, text>>, masked_text), one row per chunk_id.
+
+    A null or blank text has no entities and masks to itself. Of several texts under one chunk_id the smallest counts. Chunks
+    of one document_id speak to each other; one without stands alone.
+    """
+    found, texts = find(chunks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            entities = [[{**x, "text": t[x["start_char"] : x["end_char"]]} for x in f] for t, f in zip(batch["raw_text"], batch["found"])]
+            texts_ = [masked(t, [(x["start_char"], x["end_char"], x["entity_type"]) for x in f]) if t is not None else None for t, f in zip(batch["raw_text"], batch["found"])]
+            yield pd.DataFrame({"chunk_id": batch["chunk_id"].to_numpy(), "entities": entities, "masked_text": texts_})
+
+    schema = "chunk_id string, entities array<struct<start_char:int,end_char:int,entity_type:string,text:string>>, masked_text string"
+    return texts.join(found, "chunk_id").select("chunk_id", "raw_text", "found").mapInPandas(run, schema)
+
 
-    return texts.mapInPandas(run, "chunk_id string, entities array<struct<start_char:int,end_char:int,entity_type:string,text:string>>, masked_text string")
+def span_rows(found: DataFrame) -> DataFrame:
+    return found.select("chunk_id", F.inline("found"))
 
 
 def entity_rows(found: DataFrame) -> DataFrame:

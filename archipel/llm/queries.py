@@ -44,7 +44,7 @@ def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.entity_rows(personal.detect(table(spark, sf_dir, "archive_chunks"))).select("chunk_id", "start_char", "end_char", "entity_type")
+    return personal.span_rows(personal.find(table(spark, sf_dir, "archive_chunks"))[0])
 
 
 def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
