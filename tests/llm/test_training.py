@@ -369,6 +369,19 @@ def test_hot_bucket_is_split(spark, monkeypatch):
     assert neighbours.nearest(df).groupBy("id").count().where("count = 10").count() == 60
 
 
+def test_vectors_move_in_slices(spark, monkeypatch):
+    moved, whole, n = [], neighbours.cell_pairs, 300
+    monkeypatch.setattr(neighbours, "cell_pairs", lambda rows, k: moved.append(rows.count()) or whole(rows, k))
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(f"c{i:03d}", [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((n, 64)))], "chunk_id string, dense array<float>")
+    lists = lambda: {tuple(r) for r in neighbours.nearest(df, tables=4).collect()}
+    at_once = lists()
+    moved.clear()
+    monkeypatch.setattr(neighbours, "ROOM", 0, raising=False)  # as for a large table
+    assert lists() == at_once and len(at_once) == 10 * n
+    assert max(moved) <= 2 * n < sum(moved)
+
+
 # problem 8
 def budgets(spark):
     return spark.createDataFrame([("s", 64), ("m", 200), (None, 5)], "container string, capacity_tokens int")
