@@ -52,6 +52,41 @@ def test_defects_edges(spark):
     assert {(r["record_id"], r["defect_type"]) for r in responses.defects(df).collect()} >= {(1, "empty")}
 
 
+def test_defects_are_learnt_from_all_records(spark):
+    german = ("Warum hat die Klinik im Dorf die Setzlinge nicht gezählt und wer war dabei?", "Die Klinik im Dorf hat die Setzlinge gezählt, weil der Termin nicht verschoben werden konnte.")
+    n = 2600
+    given = [(Q, E) if i % 3 else german for i in range(n)]
+    df = frame(spark, JUDGMENT, *[(i, "q", "c", *given[i], "j", "completed", None, GOOD.replace("2,", f"{i % 4},", 1)) for i in range(n)])
+    _, cases = responses.patterns(df)
+    assert {r["defect_type"]: r["n"] for r in cases.groupBy("defect_type").agg(F.sum("n").alias("n")).collect()} == dict.fromkeys(responses.DEFECTS, n)
+    trigrams, _ = responses.learnt(df.select(F.col("raw_judge_response").alias("response"), "query", F.col("expected_relevant_information").alias("expected")))
+    languages, runs = responses.Languages(), responses.Runs()
+    for i in range(n):
+        for words in (responses.parts(GOOD)[3], responses.WORD.findall(" ".join(given[i]).lower())):
+            if lang := responses.spoken(words, languages):
+                runs.add(lang, words)
+    counts = {}
+    for lang, run, k in runs.rows():
+        counts.setdefault(lang, {})[run] = k
+    assert set(trigrams.langs) == {"en", "de"} == set(counts)
+    want = responses.Trigrams({x: sum(c.values()) for x, c in counts.items()}, counts)
+    text = "the village clinic die setzlinge"
+    assert trigrams.gains(text) == pytest.approx(want.gains(text))
+
+
+def test_runs_equal_those_of_the_text():
+    words = "the clinic audited the seedlings a b".split()
+    runs = responses.Runs()
+    runs.add("en", words)
+    runs.add("en", words, 2)
+    text = " ".join(words)
+    want = {}
+    for run in responses.Trigrams.runs(text):
+        want[run] = want.get(run, 0) + 3
+    got = {run: n for _, run, n in runs.rows()}
+    assert got == want and not list(runs.rows())
+
+
 def test_label_model_separates():
     counts = {"yyy": 30, "yy0": 5, "nnn": 900, "nn0": 60, "ynn": 5}
     p = responses.label_model(counts)
