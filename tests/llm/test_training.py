@@ -1,8 +1,10 @@
 """Training-data operators: brute force, properties, and nulls, empties, long texts, ties, repeats, extra columns."""
 
+import json
 import random
 import re
 import unicodedata as ud
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -87,6 +89,54 @@ def test_runs_equal_those_of_the_text():
     assert got == want and not list(runs.rows())
 
 
+def test_evidence_of_a_word_is_looked_up_once(monkeypatch):
+    """However many answers are held against however many queries: before, every answer was looked up run by run, twice."""
+    german = "Die Klinik im Dorf hat die Setzlinge gezählt, weil der Termin nicht verschoben werden konnte."
+    counts = {lang: Counter(responses.Trigrams.runs(" ".join(responses.WORD.findall((text * 9).lower())))) for lang, text in (("en", E), ("de", german))}
+    trigrams = responses.Trigrams({lang: sum(c.values()) for lang, c in counts.items()}, counts)
+    looked_up = []
+    places = responses.Trigrams.places
+    monkeypatch.setattr(responses.Trigrams, "places", lambda self, text: looked_up.append(text) or places(self, text))
+    voter = responses.Voter(trigrams)
+    words = responses.WORD.findall(GOOD.split('"')[-2].lower())
+    for i in range(len(words)):
+        told = " ".join(words[i:] + words[:i]) + "."
+        answer = json.dumps({"relevance_score": 2, "rationale": told})
+        _, _, _, _, heard = voter(answer, Q, E, None)
+        cases = {d: x for d, x, *_ in voter.planted(answer, heard, voter.about(Q, E), voter.about(german, german), 12345 * i)}
+        gain = trigrams.gains(told[:-1])["de"]
+        assert set(cases) == set(responses.DEFECTS) and cases["other_language"][2] == ("y" if gain > 0.3 else "n" if gain < -0.3 else "0")
+        assert heard.gains == pytest.approx(trigrams.gains(told[:-1]))
+    known = {*words, *responses.WORD.findall(f"{Q} {E} {german}".lower())}
+    assert len([x for x in looked_up if " " not in x]) <= len(known)
+
+
+def test_runs_of_many_texts_equal_those_of_each():
+    texts = [t.lower().split() for t in (Q, E, "die klinik hat die setzlinge nicht gezählt und der termin war da", "", "a", "x y z", "評価は2です", Q)]
+    languages, one, all_ = responses.Languages(), responses.Runs(), responses.Runs()
+    for words in texts:
+        if lang := responses.spoken(words, languages):
+            one.add(lang, words)
+    all_.add_spoken(texts, languages)
+    got = {(lang, run): n for lang, run, n in all_.rows()}
+    assert got == {(lang, run): n for lang, run, n in one.rows()} and {lang for lang, _ in got} == {"en", "de"}
+
+
+def test_short_cuts_miss_nothing():
+    texts = ["", "a", "it's 3_x y2z", "l'été d’abord", "don't 'quote' this", "ｆｕｌｌ Ünï", "a\x1cb\x85c\u00a0d", "評価は2です。理由"]
+    for text in texts:
+        assert responses.words_of(text) == responses.WORD.findall(text)
+    declined = ["i can't say", "nie mogę tego ocenić", "não posso avaliar", "я не могу оценить", "評価できません", "je ne peux pas évaluer", "das kann ich leider nicht", "no me es posible evaluar", "the chunk says so", "el texto está bien"]
+    for text in declined:
+        assert responses.unable(text, responses.WORD.findall(text)) == bool(responses.INABLE.search(text))
+    polite = ["i'm very sorry", "i apologise", "my apologies", "unfortunately", "regrettably", "i regret", "thanks", "désolé", "je regrette", "malheureusement", "lo siento", "lamentablemente", "tut mir leid", "leider", "entschuldigung", "mi dispiace", "purtroppo", "desculpe", "lamento", "infelizmente", "helaas", "przepraszam", "niestety", "tyvärr", "извините", "к сожалению", "申し訳", "抱歉", "죄송", "anything else", "something else", "further help", "further assistance", "let me know"]
+    for text in polite:
+        assert responses.SORRY.match(text) or responses.OFFER.search(text)
+        assert any(responses.POLITE.search(w) for w in responses.WORD.findall(text)), text
+    for text, body in (("```json\n{}\n```", "{}"), ("Sure: ```\nHere is the judgement: x ```", "x"), ("``` a ``` b", "a ``` b"), ("```", ""), ("Okay. 3", "3")):
+        assert responses.parsed(text)["body"] == body
+
+
 def test_label_model_separates():
     counts = {"yyy": 30, "yy0": 5, "nnn": 900, "nn0": 60, "ynn": 5}
     p = responses.label_model(counts)
