@@ -200,6 +200,36 @@ def test_chunk_inputs_limits(spark):
     assert [(r["chunk_id"], r["n_entities"]) for r in got] == [("ok", 2)]
 
 
+def test_offsets_of_long_texts_stay_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["lorem ipsum dolor " * 400, None, ""] * 300)
+    tracemalloc.start()
+    n = [len(x) for out in T.token_lists(iter([texts, texts.slice(0, 0)])) for x in out]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == [1200, 0, 0] * 300 and peak < 40e6  # 360,000 words as one list of records take over 100 MB
+
+
+def test_relation_plans_read_mentions_once(spark, small):
+    """No plan on mentions with tokens cuts texts into words again, however often it reads them."""
+    from archipel.plans import knowledge as K
+
+    for name in ("relation_chunk_inputs", "relation_pair_windows", "relation_endpoints", "relation_edges", "relation_annotations"):
+        plan = K.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == (name == "relation_pair_windows"), name  # the one that bundles pairs
+
+
+def test_input_records_follow_chunk_inputs(spark):
+    rows = [(f"c{i % 7}", f"m{i}", f"e{i % 11}", "PERSON" if i % 3 else "ORGANIZATION", "x", 5 * (i % 13), 5 * (i % 13) + 4, i % 13, i % 13) for i in range(150)]
+    df = spark.createDataFrame(rows, "chunk_id string, mention_id string, entity_id string, mention_type string, mention_text string, start_char int, end_char int, token_start int, token_end int")
+    schema = relations.relation_schema(spark)
+    want = {(r["chunk_id"], i, m["mention_id"]) for r in relations.chunk_inputs(df, schema).collect() for i, m in enumerate(r["ner"])}
+    assert want and {(r["input_id"], r["ner_index"], r["mention_id"]) for r in relations.input_records(df, schema).collect()} == want
+
+
 def test_masking_strategies(spark):
     rng = random.Random(4)
     rows = [(f"c{i // 4}", f"m{i}", "A" if i % 4 < 2 else "B", 10 * (i % 4), 10 * (i % 4) + 5, 0.9 if i % 4 < 2 else rng.random() * 0.4, int(i % 4 < 2)) for i in range(80)]
