@@ -230,6 +230,28 @@ def test_input_records_follow_chunk_inputs(spark):
     assert want and {(r["input_id"], r["ner_index"], r["mention_id"]) for r in relations.input_records(df, schema).collect()} == want
 
 
+def test_edges_of_crowded_chunks(spark, tmp_path):
+    """A chunk of 60 entities, more than a model's input holds, gives all its edges, and so does the SQL."""
+    import duckdb
+
+    from archipel.plans import knowledge as K
+
+    names = [f"Name{i:02d}" for i in range(60)]
+    kinds = ["PERSON", "ORG"] * 30
+    tables_ = {
+        "archive_chunks": ([("c", " ".join(names))], "chunk_id string, raw_text string"),
+        "local_entities": ([(f"e{i:02d}", n, k) for i, (n, k) in enumerate(zip(names, kinds))], "entity_id string, canonical_name string, entity_type string"),
+        "nil_mentions": ([(f"m{i:02d}", "c", "d", "x", "text", n, k, 7 * i, 7 * i + 6) for i, (n, k) in enumerate(zip(names, kinds))], "mention_id string, chunk_id string, document_id string, dataset string, modality string, mention_text string, mention_type string, start_char bigint, end_char bigint"),
+    }
+    c = duckdb.connect()
+    for name, (rows, schema) in tables_.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        c.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, K.relation_edges(spark, str(tmp_path)).select("head", "relation", "tail", "score").collect()))
+    assert [(h, t) for h, _, t, _ in got] == [(f"e{i:02d}", f"e{i + 1:02d}") for i in range(0, 60, 2)]
+    assert got == sorted(c.execute(f"select head, relation, tail, score from ({K.SQL['relation_edges']})").fetchall())
+
+
 def test_masking_strategies(spark):
     rng = random.Random(4)
     rows = [(f"c{i // 4}", f"m{i}", "A" if i % 4 < 2 else "B", 10 * (i % 4), 10 * (i % 4) + 5, 0.9 if i % 4 < 2 else rng.random() * 0.4, int(i % 4 < 2)) for i in range(80)]
