@@ -454,6 +454,23 @@ def test_hot_bucket_is_split(spark, monkeypatch):
     assert neighbours.nearest(df).groupBy("id").count().where("count = 10").count() == 60
 
 
+def test_lists_are_merged_not_rows():
+    """What a batch met leaves it as one list for each class, and lists keep the best of all pairs."""
+    rng = np.random.default_rng(6)
+    a, b, cos = rng.integers(20, size=5000), rng.integers(90, size=5000), np.round(rng.random(5000), 2)
+    got = neighbours.lists(a, b, cos, 10).to_pylist()
+    assert [r["cls"] for r in got] == sorted(set(a))
+    for r in got:
+        most = {}
+        for y, c in zip(b[a == r["cls"]], cos[a == r["cls"]]):
+            most[y] = max(most.get(y, -1), c)
+        want = sorted(most.items(), key=lambda x: (-x[1], x[0]))[:10]
+        assert list(zip(r["top"], r["score"])) == want and r["bound"] == want[-1][1]
+    none = np.zeros(0, np.int64)
+    assert neighbours.lists(none, none, np.zeros(0), 10).num_rows == 0
+    assert neighbours.lists(np.array([4, 4]), np.array([1, 2]), np.array([0.5, 0.5]), 3).to_pylist() == [{"cls": 4, "bound": None, "top": [1, 2], "score": [0.5, 0.5]}]
+
+
 def test_vectors_move_in_slices(spark, monkeypatch):
     moved, whole, n = [], neighbours.cell_pairs, 300
     monkeypatch.setattr(neighbours, "cell_pairs", lambda rows, k: moved.append(rows.count()) or whole(rows, k))
